@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = "i02_bm25_scores"
+from veristrata.plans import evaluation, judging, lexical, splitting, streams
+
+FLAGSHIP = "i02_bm25_top10"
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+for _module in (lexical, splitting, evaluation, judging, streams):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
