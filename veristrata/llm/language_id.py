@@ -145,7 +145,7 @@ def identify(rows: DataFrame, model: TextModel, carry: list[str] | None = None,
     out = out.withColumn("prior", prior).withColumn("fused", fused).withColumn("fused", F.expr(_softmax("fused")))
     names = F.array(*[F.lit(x) for x in model.languages])
     confidence = F.coalesce(F.array_max("fused"), F.lit(0.0))
-    language = F.element_at(names, F.array_position("fused", F.array_max("fused")).cast("int"))
+    language = F.when(F.col("likelihood").isNotNull(), F.element_at(names, F.array_position("fused", F.array_max("fused")).cast("int")))
     return out.select(*(carry or ["doc_id"]), language.alias("language"), confidence.alias("confidence"), (confidence >= accept).alias("accepted"))
 
 
