@@ -28,13 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import as_bytes, chunks, materialise, mix, partitions, span_hash, word_bounds
+from veristrata.llm.common import SPACE, as_bytes, chunks, materialise, mix, partitions, span_hash, word_bounds
 
 WINDOW = 13
 GRAM = 3
 INLINE = 8
-#: Bytes of text that are packed together.
-BLOCK = 8 << 20
+#: Bytes of text whose words are hashed together, and that are packed together.
+BLOCK = 2 << 20
+PACK = 8 << 20
+#: Buckets for each shuffle partition: a bucket is small beside a task's memory.
+BUCKETS = 12
 
 _ROUTED = "bucket int, hot boolean, blob binary"
 _FOUND = "kind int, doc_id long, at int, until int, key binary, least long"
@@ -57,10 +60,9 @@ def super_kmers(block: list, window: int = WINDOW, gram: int = GRAM):
     sizes = ends - starts
     firsts = np.cumsum([0] + [len(x[2]) + 1 for x in block[:-1]])
     owner = np.searchsorted(firsts, starts, "right") - 1
-    keep = ~np.concatenate((np.isin(buf, (9, 10, 11, 12, 13, 32)), [True]))
+    keep = np.append(~SPACE[buf], True)
     keep[ends] = True
-    flat = np.append(buf, np.uint8(32))
-    flat = np.where(np.isin(flat, (9, 10, 11, 12, 13)), np.uint8(32), flat)[keep]
+    flat = np.append(np.where(SPACE[buf], np.uint8(32), buf), np.uint8(32))[keep]
     at = np.cumsum(sizes + 1) - (sizes + 1)
     until = at + sizes
     n = len(at) - window + 1
@@ -84,56 +86,78 @@ def super_kmers(block: list, window: int = WINDOW, gram: int = GRAM):
     return low[new], at[a], until[b + window - 1], owner[a], a - first_word[owner[a]] + base[owner[a]], flat.tobytes()
 
 
+class _Packer:
+    """Strings and their places by bucket, until they are packed."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.press = buckets, zstandard.ZstdCompressor(level=3)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.seen: dict[int, dict[bytes, list]] = {}
+        self.size = 0
+
+    def add(self, block: list, window: int, gram: int) -> None:
+        self.size += sum(len(x[2]) for x in block)
+        made = super_kmers(block, window, gram)
+        if made is None:
+            return
+        low, start, end, owner, position, flat = made
+        docs = np.array([x[0] for x in block], np.int64)[owner]
+        bucket = (mix(low) % np.uint64(self.buckets)).astype(np.int64)
+        seen = self.seen
+        for b, x, y, doc, at in zip(bucket.tolist(), start.tolist(), end.tolist(), docs.tolist(), position.tolist()):
+            own = seen.get(b)
+            if own is None:
+                own = seen[b] = {}
+            places = own.get(s := flat[x:y])
+            if places is None:
+                own[s] = [doc, at]
+            else:
+                places += (doc, at)
+
+    def pack(self) -> pa.RecordBatch:
+        rows, extra = [], {}
+        for bucket, own in self.seen.items():
+            counts, lows, highs, docs, places = [], [], [], [], []
+            for s, found in own.items():
+                if len(found) == 2:
+                    low = high = found[0]
+                else:
+                    low, high = min(found[::2]), max(found[::2])
+                if len(found) > 2 * INLINE:
+                    key, size = hashlib.blake2b(s, digest_size=16).digest(), s.count(b" ") + 1
+                    for doc, at in zip(found[2 * INLINE :: 2], found[2 * INLINE + 1 :: 2]):
+                        extra.setdefault(doc % self.buckets, []).append((key, doc, at, size))
+                    counts.append(-INLINE)
+                    found = found[: 2 * INLINE]
+                else:
+                    counts.append(len(found) // 2)
+                lows.append(low)
+                highs.append(high)
+                docs += found[::2]
+                places += found[1::2]
+            blob = (b"\n".join(own), np.array(counts, np.int8), np.array(lows, np.int64), np.array(highs, np.int64), np.array(docs, np.int64), np.array(places, np.int32))
+            rows.append((bucket, False, self.press.compress(pickle.dumps(blob, 5))))
+        rows += [(self.buckets + k, True, self.press.compress(pickle.dumps(found, 5))) for k, found in extra.items()]
+        self._clear()
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "hot", "blob"])
+
+
 def _router(buckets: int, window: int, gram: int):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        packer = _Packer(buckets)
         for batch in batches:
-            for block in chunks(batch.column(0).to_pylist(), _views(batch.column(1)), window - 1, BLOCK):
-                made = super_kmers(block, window, gram)
-                if made is None:
-                    continue
-                low, start, end, owner, position, flat = made
-                docs = np.array([x[0] for x in block], np.int64)[owner]
-                bucket = (mix(low) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                strings = [flat[x:y] for x, y in zip(start[order].tolist(), end[order].tolist())]
-                docs, position, bucket = docs[order], position[order], bucket[order]
-                edges = np.flatnonzero(np.diff(bucket)) + 1
-                out: tuple[list, list, list] = ([], [], [])
-                extra: dict[int, list] = {}
-                for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(bucket)]):
-                    seen: dict[bytes, list] = {}
-                    for k in range(i, j):
-                        seen.setdefault(strings[k], []).append(k)
-                    kept, counts, lows, highs, hot = [], [], [], [], []
-                    for s, where in seen.items():
-                        own = docs[where] if len(where) > 1 else docs[where[0] : where[0] + 1]
-                        lows.append(own.min())
-                        highs.append(own.max())
-                        hot.append(len(where) > INLINE)
-                        if hot[-1]:
-                            key = hashlib.blake2b(s, digest_size=16).digest()
-                            size = s.count(b" ") + 1
-                            for k in where[INLINE:]:
-                                extra.setdefault(int(docs[k]) % buckets, []).append((key, int(docs[k]), int(position[k]), size))
-                            where = where[:INLINE]
-                        counts.append(len(where))
-                        kept.extend(where)
-                    blob = (b"\n".join(seen), np.array(counts, np.int32), np.array(lows, np.int64), np.array(highs, np.int64), np.array(hot, bool), docs[kept], position[kept].astype(np.int32))
-                    for column, value in zip(out, (int(bucket[i]), False, pack.compress(pickle.dumps(blob, 5)))):
-                        column.append(value)
-                for k, rows in extra.items():
-                    for column, value in zip(out, (buckets + k, True, pack.compress(pickle.dumps(rows, 5)))):
-                        column.append(value)
-                yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], names=["bucket", "hot", "blob"])
+            for block in chunks(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), window - 1, BLOCK):
+                packer.add(block, window, gram)
+                if packer.size >= PACK:
+                    yield packer.pack()
+        if packer.seen:
+            yield packer.pack()
 
     return route
 
 
-def _views(column: pa.Array) -> list:
-    return column.to_pylist()
-
-
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     edge = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
@@ -191,11 +215,11 @@ def _bucket(window: int):
             rows = [r for blob in blobs for r in blob]
             return _found([(2, [r[1] for r in rows], [r[2] for r in rows], [r[2] + r[3] for r in rows], [r[0] for r in rows], [None] * len(rows))])
         index: dict[bytes, int] = {}
-        who, lows, highs, hot, docs, positions = [], [], [], [], [], []
-        for joined, counts, low, high, over, doc, position in blobs:
+        who, lows, docs, positions = [], [], [], []
+        for joined, counts, low, high, doc, position in blobs:
             at = np.array([index.setdefault(s, len(index)) for s in joined.split(b"\n")], np.int64)
-            who.append(np.repeat(at, counts))
-            lows.append((at, low, high, over))
+            who.append(np.repeat(at, np.abs(counts)))
+            lows.append((at, low, high, counts < 0))
             docs.append(doc)
             positions.append(position)
         least_of = np.full(len(index), np.iinfo(np.int64).max)
@@ -246,7 +270,7 @@ def _found(parts: list) -> pa.Table:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, spans): word ranges [at, until) covered by a window that also starts in a document with a smaller doc_id."""
     spark = docs.sparkSession
-    buckets = max(64, 4 * partitions(spark))
+    buckets = max(64, BUCKETS * partitions(spark))
     routed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), as_bytes("text")).mapInArrow(_router(buckets, window, gram), _ROUTED)
     found = materialise(routed.groupBy("bucket").applyInArrow(_bucket(window), _FOUND), "spans")
     late = found.where("kind = 2").select("doc_id", "key", F.col("at").alias("base"))
