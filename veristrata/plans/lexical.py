@@ -84,7 +84,7 @@ def unread_gold(spark, d):
 
 
 def check_worthy(spark, d):
-    return sentences(_docs(spark, d)).where("idx < 3").select("doc_id", "idx", T.check_worthy(F.col("sentence")).alias("reason"))
+    return sentences(_docs(spark, d)).select("doc_id", "idx", T.check_worthy(F.col("sentence")).alias("reason"))
 
 
 def missed_by_rule(spark, d):
@@ -96,7 +96,7 @@ def content_terms(spark, d):
 
 
 def title_norms(spark, d):
-    return _docs(spark, d).select("doc_id", T.title_norm(F.substring("text", 1, 40)).alias("norm"))
+    return _docs(spark, d).select("doc_id", F.sha1(T.title_norm(F.col("text")).cast("binary")).alias("norm_sha1"))
 
 
 def unescaped_titles(spark, d):
@@ -276,10 +276,10 @@ got AS (SELECT k, qid, sum(1 / log2(rank + 1)) AS dcg FROM ks, ranked JOIN wante
 SELECT k, round(avg(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(k, m) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg, round(avg(CASE WHEN dcg IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall_any
 FROM ks CROSS JOIN sz LEFT JOIN got USING (k, qid) GROUP BY k""",
     "c16_unread_gold": f"WITH {S.BM25}, {S.GOLD} SELECT qid, doc_id FROM gold ANTI JOIN (SELECT * FROM ranked WHERE rank <= 10) r USING (qid, doc_id)",
-    "b08_check_worthy": f"WITH {S.SENTENCES} SELECT doc_id, idx, {_worthy('sentence')} AS reason FROM sents WHERE idx < 3",
-    "d15_missed_by_rule": f"WITH {S.SENTENCES} SELECT {_worthy('sentence')} AS reason, count(*) AS n FROM sents WHERE idx < 3 GROUP BY 1",
+    "b08_check_worthy": f"WITH {S.SENTENCES} SELECT doc_id, idx, {_worthy('sentence')} AS reason FROM sents",
+    "d15_missed_by_rule": f"WITH {S.SENTENCES} SELECT {_worthy('sentence')} AS reason, count(*) AS n FROM sents GROUP BY 1",
     "b06_content_terms": f"SELECT qid, array_to_string({_DISTINCT}, ' ') AS terms FROM (SELECT item_id AS qid, {_content('text')} AS l FROM benchmark)",
-    "b04_title_norms": f"SELECT doc_id, array_to_string({S.tokens('substr(text, 1, 40)')}, ' ') AS norm FROM documents",
+    "b04_title_norms": f"SELECT doc_id, sha1(array_to_string({S.tokens('text')}, ' ')) AS norm_sha1 FROM documents",
     "b02_unescaped_titles": "SELECT doc_id, 'A_(' || source || '):x' AS title, 'a ' || source || ' x' AS norm FROM documents",
     "b07_key_groups": f"SELECT min(doc_id) AS first, count(*) AS n, sha1({S.claim_key('text')}) AS key_sha1 FROM documents GROUP BY {S.claim_key('text')} HAVING count(*) > 1",
     "g31_reprint_overlap": f"""WITH i AS (SELECT 0 AS z, {_SPEECH} AS w FROM benchmark), dd AS (SELECT doc_id, {_SPEECH} AS w FROM documents),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veristrata.plans import evaluation, judging, lexical, splitting, streams
+from veristrata.plans import building, evaluation, judging, lexical, reporting, splitting, streams
 
 FLAGSHIP = "i02_bm25_top10"
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-for _module in (lexical, splitting, evaluation, judging, streams):
+for _module in (lexical, building, splitting, evaluation, judging, reporting, streams):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
