@@ -7,9 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veristrata.functions import claims as K
 from veristrata.functions import pages as P
+from veristrata.functions import roles as Y
 from veristrata.functions import text as T
 from veristrata.operators import calibration as C
+from veristrata.operators import datasets as B
 from veristrata.operators import composition as J
 from veristrata.operators import metrics as M
 from veristrata.operators import retrieval as R
@@ -259,3 +262,102 @@ def test_sources(spark, tmp_path):
     pages, counters = D.ingest_pages(spark, [str(tmp_path / "w-1"), str(tmp_path / "w-2")])
     assert [(r.doc_id, r.title, r.lines) for r in pages.orderBy("doc_id").collect()] == [(0, "B", "0\tb"), (1, "A", "0\ta")]
     assert counters.first().asDict() == {"records": 4, "empty_ids": 1, "pages": 2, "duplicates": 1}
+
+
+def _one(spark, column, text):
+    return spark.createDataFrame([(text,)], "t string").select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    "text, day",
+    [
+        ("By Ann Lee | March 3, 2020\n\nBody", "2020-03-03"),
+        ("Published on Monday, May 4, 2021 - News", "2021-05-04"),
+        ("Updated March 3, 2020", None),
+        ("March 3, 2020\nApril 4, 2020", None),
+        ("February 31, 2020", None),
+        ("nothing", None),
+    ],
+)
+def test_byline_date(spark, text, day):
+    assert _one(spark, P.byline_date(F.col("t")), text) == day
+
+
+def test_publication_date(spark):
+    meta = F.array(F.lit("2020-03-03T10:00:00Z"), F.lit("soon"))
+    assert _one(spark, P.publication_date(F.col("t"), meta), "Published March 3, 2020\n").day == "2020-03-03"
+    assert _one(spark, P.publication_date(F.col("t"), meta), "Published March 4, 2020\n").problem == "Conflicting publication notices."
+    assert _one(spark, P.publication_date(F.col("t"), F.array().cast("array<string>")), "x").day is None
+
+
+def test_notes_and_prose(spark):
+    blocks = "# Head\n\nA.\n\n# Notes\n\none\n\ntwo\n\n# End\n\nlast"
+    assert _one(spark, P.note_flags(P.blocks(F.col("t"))), blocks) == [False, False, True, True, True, False, False]
+    long = "word " * 30
+    assert [_one(spark, P.citable(F.col("t")), t) for t in (long, "short", "# " + long, long + "... Read more", "[" + long + "](http://x)", "Table 1: " + long)] == [True, False, False, False, False, False]
+
+
+@pytest.mark.parametrize(
+    "text, roles",
+    [
+        ("Unemployment rose in June.", ["reported_observation"]),
+        ("The rate is defined as a share of workers.", ["definition"]),
+        ("The index includes the 500 largest firms.", ["reported_observation", "definition"]),
+        ("Prices will rise next year.", ["reported_observation", "forecast"]),
+        ("Click here to subscribe now.", ["instruction"]),
+        ("What happened in June?", ["unknown"]),
+        ("Very nice weather today", ["unknown"]),
+        ('"Wages are much too low," she said.', ["reported_observation", "attributed_opinion"]),
+        ("We believe wages fell.", ["reported_observation", "attributed_opinion"]),
+    ],
+)
+def test_roles(spark, text, roles):
+    rows = spark.createDataFrame([(1, 0, text, False, False, False)], "passage_id int, idx int, text string, spoken boolean, caption boolean, reprint boolean")
+    assert Y.type_sentences(rows).first().roles == roles
+
+
+def test_opinion_is_inherited_along_a_run(spark):
+    texts = ["We believe wages fell.", "“They fell a lot in June.", "Instead, prices rose in May.", "Unemployment rose in June."]
+    rows = spark.createDataFrame([(1, i, t, False, False, False) for i, t in enumerate(texts)], "passage_id int, idx int, text string, spoken boolean, caption boolean, reprint boolean")
+    got = {r.idx: "attributed_opinion" in r.roles for r in Y.type_sentences(rows).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False}
+
+
+def test_sources_of_speech_and_opinion(spark):
+    urls = ["https://x.org/opinion/a", "https://x.org/remarks-by-the-president", "https://x.org/full-text-of-speech", "https://x.org/text-of-bill", "https://x.org/a/transcript"]
+    got = [(r.o, r.s) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(Y.opinion_source(F.col("u")).alias("o"), Y.speech_text_source(F.col("u")).alias("s")).collect()]
+    assert got == [(True, False), (False, True), (False, True), (False, False), (False, True)]
+    assert _one(spark, Y.caption_passage(F.col("t")), "A man walks. (AP Photo/Evan Vucci)") and not _one(spark, Y.caption_passage(F.col("t")), "A man walks.")
+
+
+def test_claim_functions():
+    assert [t for a, b in K.sentence_spans("Mr. Smith met J. Doe. \"Yes.\" It rose 3.5 percent in 2019. End") for t in ["Mr. Smith met J. Doe. \"Yes.\" It rose 3.5 percent in 2019. End"[a:b]]] == ["Mr. Smith met J. Doe.", "\"Yes.\"", "It rose 3.5 percent in 2019.", "End"]
+    found = {f["text"]: (f["value"], f["kind"], f["relation"]) for f in K.figures("over 3.5 million jobs, about $1,200, rose by 4 percent, 2 percentage points, in 2019, 7 left")}
+    assert found == {"3.5 million": (3.5e6, "count", "at_least"), "$1,200": (1200.0, "currency", "near"), "4 percent": (4.0, "relative_percent", None), "2 percentage points": (2.0, "percentage_points", None)}
+    assert K.hedged_form("about 100 jobs", K.figures("97 jobs and 250 jobs")) == "about 97 jobs"
+    assert K.hedged_form("over 100 jobs", K.figures("97 jobs")) is None
+    assert [p[:2] for p in K.periods("since March 2020, 2010 to 2012, in 2015")] == [(24242, K.FOREVER), (24120, 24155), (24180, 24191)]
+    assert K.place_qualifiers("West Virginia and Virginia and Ohio", "in Ohio", ("Virginia", "West Virginia", "Ohio")) == ["West Virginia", "Virginia"]
+    assert [x["label"] for x in K.inline_links(r"[a](b(c)) ![i](x) \[no](y) [q [z]](w) [e](f)")] == ["a", "e"]
+    assert K.inline_links("[a](b [c](d)") == []
+
+
+def test_pack_and_runs(spark):
+    claims = spark.createDataFrame([(1, "two words")], "id int, text string")
+    evidence = spark.createDataFrame([(1, 1, "A_b", "x y"), (1, 2, "A_b", "z"), (1, 3, "C", "w w w"), (1, 4, "A_b", "v")], "id int, rank int, title string, text string")
+    assert {b: B.pack(claims, evidence, b).first().n_read for b in (1, 4, 5, 6, 9, 10, 12)} == {1: 0, 4: 0, 5: 1, 6: 2, 9: 2, 10: 3, 12: 4}
+    assert B.render(evidence).first().text == "A b: x y z C: w w w A b: v"
+    ranks = B.shuffle_runs(evidence, 3).orderBy("rank").collect()
+    assert [r.rank for r in ranks] == [1, 2, 3, 4] and [r.text for r in ranks if r.text in ("x y", "z")] == ["x y", "z"]
+
+
+def test_pair_rules(spark):
+    news = spark.createDataFrame([("p", "h", "states"), ("p", "h", "states"), ("q", "h", "states")], "premise string, hypothesis string, relation string")
+    base = spark.createDataFrame([("q", "h")], "premise string, hypothesis string")
+    assert [(r.premise, r.relation) for r in B.fresh_pairs(news, base).collect()] == [("p", "states")]
+    with pytest.raises(Exception, match="two relations"):
+        B.fresh_pairs(news.union(spark.createDataFrame([("p", "h", "unrelated")], news.schema)), base).collect()
+    gold = spark.createDataFrame([(1, 0, "a", 0), (1, 0, "b", 0), (1, 1, "c", 0), (1, 2, "z", 0)], "id int, grp int, page string, sent int")
+    known = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0)], "page string, sent int")
+    assert tuple(B.smallest_gold(gold, known).first()) == (1, 1, 1)
+    assert B.repeat_rows(spark.createDataFrame([("a",)], "id string"), 3).orderBy("id").collect()[2].id == "a#2"

@@ -39,7 +39,7 @@ def review_context(rows: DataFrame, second: DataFrame) -> DataFrame:
 def display_order(rows: DataFrame, by: str) -> DataFrame:
     """rows with place: assertion research first, then by confidence, then by id."""
     order = Window.partitionBy(by).orderBy(F.col("origin") != "assertion", F.desc("confidence"), "pair_id")
-    return rows.withColumn("place", F.row_number().over(order))
+    return rows.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 def shown(rows: DataFrame, by: str, most: int = MOST_SHOWN) -> DataFrame:

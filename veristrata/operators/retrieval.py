@@ -65,7 +65,7 @@ def top(scored: DataFrame, k: int, by: str = "qid", order: list | None = None) -
     if k <= 0:
         raise ValueError("k must be positive")
     scored = scored.withColumn("score", F.round("score", 6)).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(*(order or [F.desc("score"), "doc_id"])))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*(order or [F.desc("score"), "doc_id"]))).cast("long")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -78,14 +78,14 @@ def title_candidates(claims: DataFrame, titles: DataFrame) -> DataFrame:
     hits = runs.join(titles.select("norm", "doc_id").where("norm <> ''"), "norm")
     first = Window.partitionBy("qid", "doc_id").orderBy(F.desc("size"), "start")
     hits = hits.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return hits.select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("size"), "start", "doc_id")).alias("pos"))
+    return hits.select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("size"), "start", "doc_id")).cast("long").alias("pos"))
 
 
 def merge_ranked(injected: DataFrame, ranked: DataFrame, n: int, most_titles: int = MOST_TITLES) -> DataFrame:
     """(qid, doc_id, rank): the first most_titles injected pages, then the ranked ones, each page once, cut at n."""
     both = injected.where(F.col("pos") <= most_titles).select("qid", "doc_id", F.lit(0).alias("src"), F.col("pos")).unionByName(ranked.select("qid", "doc_id", F.lit(1).alias("src"), F.col("rank").alias("pos")))
     once = both.groupBy("qid", "doc_id").agg(F.min(F.struct("src", "pos")).alias("at"))
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at.src", "at.pos"))).where(F.col("rank") <= n).select("qid", "doc_id", "rank")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at.src", "at.pos")).cast("long")).where(F.col("rank") <= n).select("qid", "doc_id", "rank")
 
 
 def score_sentences(queries: DataFrame, pages: DataFrame, sentences: DataFrame, docs: DataFrame, k: int) -> DataFrame:

@@ -223,3 +223,39 @@ SELECT grp, n, errors, round(s, 6) AS error, round(greatest(0.0, mid - half), 6)
     "l22_prf": """WITH r AS (SELECT n_chars > 1000 AS p, quality = 1 AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn FROM r)
 SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""",
 }
+
+
+def _typed(spark, d):
+    from veristrata.functions import roles as Y
+
+    rows = sentences(_docs(spark, d)).select(F.col("doc_id").alias("passage_id"), "idx", F.col("sentence").alias("text"), F.lit(False).alias("spoken"), Y.caption_passage(F.col("sentence")).alias("caption"), F.lit(False).alias("reprint"))
+    return Y.type_sentences(rows)
+
+
+def role_types(spark, d):
+    return _typed(spark, d).select(F.explode("roles").alias("role")).groupBy("role").agg(F.count("*").alias("n"))
+
+
+def role_gate(spark, d):
+    """Every sentence's roles through the eligibility gate."""
+    from veristrata.operators import composition as J
+
+    units = _typed(spark, d).select(F.concat_ws(":", "passage_id", "idx").alias("unit_id"), F.col("passage_id").cast("string").alias("passage_id"), "roles", F.lit("").alias("text"))
+    return J.withheld_counts(J.gate(units))
+
+
+def page_dates(spark, d):
+    from veristrata.functions import pages as P
+
+    read_ = read(spark, d, "pages").select("page_id", "url", P.read_html("html").alias("r"))
+    return read_.select("page_id", P.byline_date(F.col("r.markdown")).alias("byline"), P.publication_date(F.col("r.markdown"), F.array().cast("array<string>"))["problem"].alias("problem"), P.url_path_date(F.col("url")).alias("path_date"))
+
+
+def citable_blocks(spark, d):
+    from veristrata.functions import pages as P
+
+    found = read(spark, d, "pages").select("page_id", P.blocks(P.read_html("html")["markdown"]).alias("b"))
+    return found.select("page_id", F.size("b").alias("n_blocks"), F.size(F.filter("b", P.citable)).alias("n_citable"), F.size(F.filter(P.note_flags(F.col("b")), lambda x: x)).alias("n_notes"))
+
+
+QUERIES |= {"h11_role_types": role_types, "h14_role_gate": role_gate, "g10_page_dates": page_dates, "b21_citable_blocks": citable_blocks}

@@ -131,7 +131,7 @@ def counting_error(spark, d):
     """Of predictions of two classes at or over each cut, how many are wrong."""
     grid = spark.createDataFrame([(c,) for c in (0.0, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6)], "cut double")
     rows = _scored(spark, d).where("predicted < 2").groupBy("confidence").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("wrong"))
-    return grid.join(F.broadcast(rows), F.col("confidence") >= F.col("cut"), "left").groupBy("cut").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("wrong"))
+    return grid.join(rows, F.col("confidence") >= F.col("cut"), "left").groupBy("cut").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("wrong"))
 
 
 def isotonic(spark, d):

@@ -13,7 +13,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, idx, sentence): a text cut after terminators that white space follows, and at line feeds."""
     cut = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n+")
-    return docs.select(key, F.posexplode(F.filter(F.transform(cut, F.trim), lambda s: s != "")).alias("idx", "sentence"))
+    rows = docs.select(key, F.posexplode(F.filter(F.transform(cut, F.trim), lambda s: s != "")).alias("idx", "sentence"))
+    return rows.withColumn("idx", F.col("idx").cast("long"))
 
 
 def predictions(embeddings: DataFrame, classes: int = 10) -> DataFrame:
@@ -24,4 +25,4 @@ def predictions(embeddings: DataFrame, classes: int = 10) -> DataFrame:
 def gold(benchmark: DataFrame, docs: DataFrame, prefix: int = 60) -> DataFrame:
     """(qid, doc_id) of documents that hold an item's beginning word for word."""
     starts = benchmark.select(F.col("item_id").alias("qid"), F.substring("text", 1, prefix).alias("start"))
-    return docs.join(F.broadcast(starts), F.contains("text", F.col("start"))).select("qid", "doc_id")
+    return docs.join(starts, F.contains("text", F.col("start"))).select("qid", "doc_id")
