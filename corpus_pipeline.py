@@ -30,16 +30,15 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of windows that a document with a smaller doc_id has too; texts that lose no word stay as they are, and documents without a word left go."""
-    out = substring_dedup.substring_dedup(docs, carry=["text", "lang", "source", "n_chars"])
-    cut = F.col("n_removed") > 0
-    out = out.where("n_words > n_removed or n_removed = 0")
-    return out.select("doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    out = substring_dedup.substring_dedup(docs, carry=["lang", "source", "n_chars"], tidy=False).where("n_words > n_removed or n_removed = 0")
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def stage_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated with benchmark items."""
-    out = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), carry=COLUMNS[1:])
-    return out.where("not contaminated").select(COLUMNS)
+    """Documents that aren't contaminated with benchmark items; of rows with one doc_id all go if one is."""
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    return without(docs.select(COLUMNS), materialise(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated"))
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,28 +280,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "until")).alias("spans"))
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words_of, removed, kept = [], [], []
-        for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words = (data or b"").split()
-            words_of.append(len(words))
-            if spans:
-                flag = bytearray(len(words))
-                for span in spans:
-                    flag[span["at"] : min(span["until"], len(words))] = b"\x01" * max(0, min(span["until"], len(words)) - span["at"])
-                words = [w for w, gone in zip(words, flag) if not gone]
-            removed.append(words_of[-1] - len(words))
-            kept.append(b" ".join(words).decode("utf-8", "replace"))
-        yield pa.record_batch([batch.column(0), pa.array(words_of, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_string()).cast(pa.string())], names=["row", "n_words", "n_removed", "kept_text"])
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
-    """docs' doc_id and the carry columns, with n_words, n_removed and kept_text (the words left, joined by one space)."""
+def _stripper(tidy: bool):
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words_of, removed, kept = [], [], []
+            for data, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+                data = data.as_py() or b""
+                words = data.split()
+                words_of.append(len(words))
+                if spans:
+                    flag = bytearray(len(words))
+                    for span in spans:
+                        flag[span["at"] : min(span["until"], len(words))] = b"\x01" * max(0, min(span["until"], len(words)) - span["at"])
+                    words = [w for w, gone in zip(words, flag) if not gone]
+                removed.append(words_of[-1] - len(words))
+                kept.append((b" ".join(words) if tidy or removed[-1] else data).decode("utf-8", "replace"))
+            yield pa.record_batch([batch.column(0), pa.array(words_of, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept_text"])
+
+    return strip
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None, tidy: bool = True) -> DataFrame:
+    """docs' doc_id and the carry columns, with n_words, n_removed and kept_text (the words left, joined by one space; without tidy, a text that loses no word stays as it is)."""
     carry = carry or []
     spans = repeated_spans(docs, window, gram)
     row = F.struct(F.col("doc_id"), *[F.col(c) for c in carry])
     joined = docs.select("doc_id", row.alias("row"), as_bytes("text").alias("text")).join(spans, "doc_id", "left").select("row", "text", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_strip, f"row {kind}, n_words long, n_removed long, kept_text string")
+    out = joined.mapInArrow(_stripper(tidy), f"row {kind}, n_words long, n_removed long, kept_text string")
     return out.select("row.*", "n_words", "n_removed", "kept_text")
