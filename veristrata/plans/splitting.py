@@ -21,7 +21,7 @@ def stratified_split(spark, d):
 
 
 def holdout(spark, d):
-    return X.holdout(_labelled(spark, d), 20).select("doc_id", "held")
+    return X.holdout(_labelled(spark, d), 5).select("doc_id", "held")
 
 
 def three_way_split(spark, d):
@@ -131,7 +131,7 @@ _NB = f"""tr AS (SELECT label, {S.tokens('text')} AS t FROM (SELECT quality AS l
 
 ORACLES = {
     "f01_stratified_split": _HALF + " SELECT doc_id, label, split FROM sp",
-    "f02_holdout": f"WITH {S.LABELLED}, {S.keys(X.HOLDOUT_SALT)} SELECT doc_id, pos <= 20 AS held FROM rows_ JOIN keys USING (key)",
+    "f02_holdout": f"WITH {S.LABELLED}, {S.keys(X.HOLDOUT_SALT)} SELECT doc_id, pos <= 5 AS held FROM rows_ JOIN keys USING (key)",
     "f03_three_way_split": f"""WITH {_ORDERS}, {S.keys(X.THREE_WAY_SALT, 'o_')}
 SELECT CASE WHEN pos <= round_even(n * CAST(0.14 AS DOUBLE), 0) THEN 'calibration' WHEN pos <= round_even(n * CAST(0.14 AS DOUBLE), 0) * 2 THEN 'test' ELSE 'train' END AS split, count(*) AS n, count(DISTINCT key) AS n_keys FROM o_ JOIN keys USING (key) GROUP BY 1""",
     "f04_carved_trainval": f"WITH {S.LABELLED}, {S.keys(X.CARVE_SALT)} SELECT doc_id, CASE WHEN pos <= round_even(n * CAST(0.12 AS DOUBLE), 0) THEN 'trainval' ELSE 'train' END AS split FROM rows_ JOIN keys USING (key)",
