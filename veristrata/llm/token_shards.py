@@ -21,6 +21,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ class ByteLevelTokenizer:
         # a unit's first byte tells whether a space stands before it
         ids = [self.coder.encode_ordinary(u) for u in units.cast(pa.string()).to_pylist()]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return sizes, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+        return sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, numbers of ids)."""
@@ -96,7 +97,7 @@ class ByteLevelTokenizer:
         words = split.filter(pa.array(~odd)).flatten() if odd.any() else split.flatten()
         first = np.zeros(len(words), bool)
         first[(np.cumsum(counts) - counts)[counts > 0]] = True
-        units = pc.binary_join_element_wise(pa.array(np.where(first, "", " ").tolist(), pa.string()), words, "") if len(words) else words
+        units = pc.if_else(pa.array(first), words, pc.binary_join_element_wise(pa.scalar(" "), words, ""))
         places = self.cache.places(units.cast(pa.binary()))
         sizes = self.cache.sizes[places]
         items = self.cache.items[ragged(self.cache.starts[places], sizes)]

@@ -162,7 +162,7 @@ class Encoded:
     encode: an array of distinct binary values to (numbers of items, items one after another).
     """
 
-    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = 1 << 18):
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20):
         self.encode, self.most = encode, most
         self._forget()
 
@@ -182,9 +182,13 @@ class Encoded:
             sizes, items = self.encode(fresh)
             self.starts = np.append(self.starts, len(self.items) + np.cumsum(sizes) - sizes)
             self.sizes, self.items = np.append(self.sizes, sizes), np.append(self.items, items)
+            unplaced = pc.is_null(at).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at[unplaced] = len(self.known) + np.arange(len(fresh))
             self.known = pa.concat_arrays([self.known, fresh])
-            at = pc.index_in(own, value_set=self.known)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        else:
+            at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return at[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def matrix(units: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
