@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import as_bytes, materialise, pieces
+from veristrata.llm.common import as_bytes, lean, materialise, pieces
 
 WINDOW = 13
 #: Words of one block of items; its automaton has at most twice as many states.
@@ -223,9 +223,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None
         if number:  # one automaton at a time in a worker's memory
             found = materialise(found, "scanned")
         shared = spark.sparkContext.broadcast({"items": block, "window": window})
-        found = found.mapInArrow(_scanner(shared), f"row {kind}, text binary, {_STATE}")
+        found = found.mapInArrow(lean(_scanner(shared)), f"row {kind}, text binary, {_STATE}")
     found = found.select("row", "n_words", "spans", "items")
-    out = found.mapInArrow(_summarise, f"row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<at:long,until:long>>")
+    out = found.mapInArrow(lean(_summarise), f"row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<at:long,until:long>>")
     return out.select("row.*", "n_words", "n_hit", "n_items", "items_sha256", "spans", (F.expr(f"n_hit > 0 and {share} * n_hit >= n_words")).alias("contaminated"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import as_bytes, materialise, small
+from veristrata.llm.common import as_bytes, lean, materialise, small
 
 #: Labelled rows of one language that the text models are learned from, at most.
 SAMPLE = 1_000
@@ -77,7 +77,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
         ids = own if ids is None else ids.unionByName(own)
     ids = materialise(ids.distinct(), "sample")
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", as_bytes("text"))
-    found = rows.mapInArrow(_counter, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(lean(_counter), "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << BITS, len(languages)))
     place = {x: i for i, x in enumerate(languages)}
     column = np.array([place[x] for x in found.column("language").to_pylist()], np.int64)
@@ -123,7 +123,7 @@ def identify(rows: DataFrame, model: TextModel, carry: list[str] | None = None,
     if not model.languages:
         return source.select("row.*").select(*(carry or ["doc_id"]), null.alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
     shared = spark.sparkContext.broadcast(model.scores)
-    read = materialise(source.mapInArrow(_scorer(shared), f"row {kind}, likelihood array<double>"), "likelihoods")
+    read = materialise(source.mapInArrow(lean(_scorer(shared)), f"row {kind}, likelihood array<double>"), "likelihoods")
     read = read.select("row.*", "likelihood").withColumn("posterior", F.when(F.col("likelihood").isNotNull(), F.expr(_softmax("likelihood"))))
     counted = read.where("posterior is not null")
     n = len(model.languages)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import materialise, small
+from veristrata.llm.common import lean, materialise, small
 from veristrata.llm.trie import text_slices
 
 MOST_WORDS = 200_000
@@ -149,14 +149,14 @@ def train(docs: DataFrame, is_target: str, most_words: int = MOST_WORDS, most_pa
     """Both models from docs' text; is_target names a boolean column."""
     spark = docs.sparkSession
     source = docs.select(F.col("text"), F.coalesce(F.col(is_target), F.lit(False)).alias("target"))
-    words = materialise(source.mapInArrow(_word_counter, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "words")
+    words = materialise(source.mapInArrow(lean(_word_counter), "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "words")
     total = words.agg(F.sum("n"), F.sum("n_target")).first()
     tokens, target_tokens = int(total[0] or 0), int(total[1] or 0)
     common = words.where(F.col("n") * most_words >= tokens).orderBy("word").toArrow()
     vocabulary = Vocabulary(common.column("word").to_pylist())
     size = vocabulary.size
     shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = materialise(source.mapInArrow(_pair_counter(shared), "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "pairs")
+    pairs = materialise(source.mapInArrow(lean(_pair_counter(shared)), "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "pairs")
     contexts = pairs.groupBy(F.expr(f"pair div {size}").alias("context")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
     table = pairs.where(F.col("n") * most_pairs >= tokens).toArrow().sort_by("pair")
     keys = table.column("pair").to_numpy()
@@ -180,5 +180,5 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, carry: list[st
     models = docs.sparkSession.sparkContext.broadcast(train(marked, "_target", **parameters))
     row = F.struct(F.col("doc_id"), *[F.col(c) for c in carry or []])
     source = docs.select(row.alias("row"), F.col("text").alias("text"))
-    out = source.mapInArrow(_scorer(models), f"row {source.schema['row'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double")
+    out = source.mapInArrow(lean(_scorer(models)), f"row {source.schema['row'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double")
     return out.select("row.*", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.llm.common import lean
 from veristrata.llm.trie import BYTE, MARK, NORMAL, UNKNOWN, USER_DEFINED, DoubleArray, Encoded, Vocabulary, by_size, matrix, ragged, read_vocabulary, text_slices
 
 UNKNOWN_PENALTY = 10.0
@@ -181,5 +182,5 @@ def sentence_pieces(docs: DataFrame, path: str, carry: list[str] | None = None,
     source = docs.select(row.alias("row"), F.col("text").alias("text"))
     kind = source.schema["row"].dataType.simpleString()
     more = ", decoded string, n_byte_pieces long" if decode else ""
-    out = source.mapInArrow(_coder(_broadcast(docs.sparkSession, path), decode), f"row {kind}, ids array<int>{more}")
+    out = source.mapInArrow(lean(_coder(_broadcast(docs.sparkSession, path), decode)), f"row {kind}, ids array<int>{more}")
     return out.select("row.*", "ids", *(["decoded", "n_byte_pieces"] if decode else []))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import as_bytes, materialise, partitions, pieces
+from veristrata.llm.common import as_bytes, lean, materialise, partitions, pieces
 
 SHINGLE = 3
 SEED = 42
@@ -82,7 +82,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row."""
-    return docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(lean(_fingerprints), "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

@@ -28,16 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import SPACE, as_bytes, chunks, materialise, mix, partitions, span_hash, word_bounds
+from veristrata.llm.common import SPACE, as_bytes, chunks, lean, materialise, mix, partitions, span_hash, word_bounds
 
 WINDOW = 13
 GRAM = 3
 INLINE = 8
 #: Bytes of text whose words are hashed together, and that are packed together.
-BLOCK = 2 << 20
-PACK = 8 << 20
+BLOCK = 1 << 20
+PACK = 4 << 20
 #: Buckets for each shuffle partition: a bucket is small beside a task's memory.
-BUCKETS = 12
+BUCKETS = 20
 
 _ROUTED = "bucket int, hot boolean, blob binary"
 _FOUND = "kind int, doc_id long, at int, until int, key binary, least long"
@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """(doc_id, spans): word ranges [at, until) covered by a window that also starts in a document with a smaller doc_id."""
     spark = docs.sparkSession
     buckets = max(64, BUCKETS * partitions(spark))
-    routed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), as_bytes("text")).mapInArrow(_router(buckets, window, gram), _ROUTED)
+    routed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), as_bytes("text")).mapInArrow(lean(_router(buckets, window, gram)), _ROUTED)
     found = materialise(routed.groupBy("bucket").applyInArrow(_bucket(window), _FOUND), "spans")
     late = found.where("kind = 2").select("doc_id", "key", F.col("at").alias("base"))
     verdict = found.where("kind = 1").select("key", "at", "until", "least")
@@ -307,5 +307,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, car
     row = F.struct(F.col("doc_id"), *[F.col(c) for c in carry])
     joined = docs.select("doc_id", row.alias("row"), as_bytes("text").alias("text")).join(spans, "doc_id", "left").select("row", "text", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_stripper(tidy), f"row {kind}, n_words long, n_removed long, kept_text string")
+    out = joined.mapInArrow(lean(_stripper(tidy)), f"row {kind}, n_words long, n_removed long, kept_text string")
     return out.select("row.*", "n_words", "n_removed", "kept_text")

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.llm.common import lean
 from veristrata.llm.trie import MARK, NORMAL, USER_DEFINED, DoubleArray, Encoded, Vocabulary, by_size, matrix, read_vocabulary, text_slices
 
 _NOWHERE = -1
@@ -94,5 +95,5 @@ def token_counts(docs: DataFrame, path: str, carry: list[str] | None = None) ->
     shared = docs.sparkSession.sparkContext.broadcast(LongestMatch(read_vocabulary(path)))
     row = F.struct(F.col("doc_id"), *[F.col(c) for c in carry or []])
     source = docs.select(row.alias("row"), F.col("text").alias("text"))
-    out = source.mapInArrow(_counter(shared), f"row {source.schema['row'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
+    out = source.mapInArrow(lean(_counter(shared)), f"row {source.schema['row'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
     return out.select("row.*", "n_words", "n_tokens", "n_unknown")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import fresh_path, materialise, open_uri
+from veristrata.llm.common import fresh_path, lean, materialise, open_uri
 from veristrata.llm.trie import Encoded, ragged, text_slices
 
 LENGTH = 512
@@ -199,13 +199,13 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, ke
         data = f.read()
     width = _width(max(int(line.split()[1]) for line in data.splitlines()) + 1).str
     shared = spark.sparkContext.broadcast(data)
-    packed = materialise(docs.select("text").mapInArrow(_packer(shared, length), "part long, start long, n long, tokens long, ids binary"), "packed")
+    packed = materialise(docs.select("text").mapInArrow(lean(_packer(shared, length)), "part long, start long, n long, tokens long, ids binary"), "packed")
     sizes = packed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row for each task
     first, total = {}, 0
     for part, n in sizes:
         first[part] = total
         total += n
-    dealt = packed.mapInArrow(_dealer(first, total, key, length, stride, width), "shard long, n long, ids binary")
+    dealt = packed.mapInArrow(lean(_dealer(first, total, key, length, stride, width)), "shard long, n long, ids binary")
     out = dealt.groupBy("shard").applyInArrow(_writer(folder, total, length, stride, width), "shard long, first_slot long, n_sequences long, n_bytes long, sha256 string, path string")
     return materialise(out, "manifest")
 

@@ -162,7 +162,7 @@ class Encoded:
     encode: an array of distinct binary values to (numbers of items, items one after another).
     """
 
-    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20):
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = 1 << 19):
         self.encode, self.most = encode, most
         self._forget()
 

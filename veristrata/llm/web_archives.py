@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import fresh_path, materialise, open_uri, partitions
+from veristrata.llm.common import fresh_path, lean, materialise, open_uri, partitions
 
 ARCHIVE_BYTES = 32 << 20
 ARCHIVE_RECORDS = 20_000
@@ -194,7 +194,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     named = source.groupBy("digest", "size").agg(F.max("page_id").alias("named"))
     source = source.join(named.hint("merge"), ["digest", "size"])
     refers = F.when((F.col("size") >= least) & F.col("named").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("named")), F.col("named"))
-    written = source.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_writer(folder), "path string, n_records long")
+    written = source.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(lean(_writer(folder)), "path string, n_records long")
     return materialise(written, "manifest")
 
 
@@ -240,8 +240,8 @@ def _record_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_archives(manifest: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (of responses) of each record of the archives at path."""
     n = partitions(manifest.sparkSession)
-    ranges = manifest.select("path").repartition(n).mapInArrow(_locator, "path string, at long, lengths array<long>")
-    return ranges.repartition(n).mapInArrow(_record_reader, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    ranges = manifest.select("path").repartition(n).mapInArrow(lean(_locator), "path string, at long, lengths array<long>")
+    return ranges.repartition(n).mapInArrow(lean(_record_reader), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
