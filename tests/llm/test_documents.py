@@ -341,6 +341,42 @@ def test_lm_scoring(spark, docs):
         assert abs(got[i].target_loss - want[0]) < 1e-9 and abs(got[i].background_loss - want[1]) < 1e-9 and abs(got[i].score - want[0] + want[1]) < 1e-9
 
 
+def test_lm_scoring_keeps_rare_words_and_pairs(spark, monkeypatch):
+    """More words and pairs than any bound held before; many small blocks; against counts in plain Python."""
+    import math
+
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1 << 18)
+    texts = {0: " ".join(f"w{i}" for i in range(210_000)), 1: "a b c a b", 2: "a b rare pair a b", 3: None, 4: "rare pair", 5: "w7 w8 a b W9", 6: " "}
+    texts |= {i: "a b c " * 20_000 for i in range(7, 11)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3, "doc_id")
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(frame, spark.createDataFrame([(2,), (5,)], "doc_id long")).collect()}
+    assert set(got) == set(texts)
+    tokens = {i: (t or "").lower().split() for i, t in texts.items()}
+    v_all = len({w for ws in tokens.values() for w in ws})
+
+    def model(members):
+        uni, context, pair = defaultdict(int), defaultdict(int), defaultdict(int)
+        for i in members:
+            for v, w in zip(["<s>", *tokens[i]], tokens[i]):
+                uni[w] += 1
+                context[v] += 1
+                pair[v, w] += 1
+        total = sum(uni.values())
+
+        def loss(v, w):
+            p = (uni[w] + 1) / (total + v_all + 1)
+            return -math.log(0.5 * pair[v, w] / context[v] + 0.5 * p if context[v] else p)
+
+        return loss
+
+    target, background = model((2, 5)), model(texts)
+    for i in texts:
+        own = list(zip(["<s>", *tokens[i]], tokens[i]))
+        want = [sum(f(v, w) for v, w in own) / max(1, len(own)) for f in (target, background)]
+        assert got[i].n_tokens == len(own)
+        assert abs(got[i].target_loss - want[0]) < 1e-9 and abs(got[i].background_loss - want[1]) < 1e-9
+
+
 def test_empty_tables(docs):
     none = docs.where("doc_id < 0")
     assert substring_dedup.substring_dedup(none).count() == 0
