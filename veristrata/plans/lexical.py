@@ -42,6 +42,11 @@ def term_frequencies(spark, d):
     return R.terms(_docs(spark, d)).orderBy(F.desc("df"), "term").limit(50)
 
 
+def all_term_frequencies(spark, d):
+    """The document frequency of every term."""
+    return R.terms(_docs(spark, d))
+
+
 def term_specificity(spark, d):
     n = _docs(spark, d).agg(F.count("*").alias("n"))
     asked = _items(spark, d).select(F.explode(T.content_terms(F.col("text"))).alias("term")).distinct()
@@ -183,6 +188,7 @@ def excerpt_pick(spark, d):
 QUERIES = {
     "d01_corpus_statistics": corpus_statistics,
     "d02_term_frequencies": term_frequencies,
+    "d02_all_term_frequencies": all_term_frequencies,
     "d21_term_specificity": term_specificity,
     "i02_bm25_top10": bm25_top10,
     "c02_title_candidates": title_candidates,
@@ -244,6 +250,7 @@ SELECT n_docs, CAST((SELECT sum(dl) FROM dl) AS BIGINT) AS n_tokens, round(avgdl
  (SELECT count(*) FROM post) AS n_postings, (SELECT count(*) FROM post WHERE tf > 255) AS n_clipped,
  round((SELECT count(*) FROM post) / n_docs, 6) AS postings_per_doc, round((SELECT sum(dl) FROM dl) / n_docs, 6) AS tokens_per_doc FROM whole""",
     "d02_term_frequencies": f"WITH {S.BM25} SELECT term, df FROM df ORDER BY df DESC, term LIMIT 50",
+    "d02_all_term_frequencies": f"WITH {S.BM25} SELECT term, df FROM df",
     "d21_term_specificity": f"""WITH {S.BM25}, asked AS (SELECT DISTINCT unnest({_content('text')}) AS term FROM benchmark)
 SELECT term, round(ln((n_docs + 1) / (df + 1)), 6) AS specificity FROM asked LEFT JOIN df USING (term), whole""",
     "i02_bm25_top10": f"WITH {S.BM25} SELECT qid, doc_id, rank, score FROM ranked WHERE rank <= 10",

@@ -94,6 +94,19 @@ def naive_bayes_fit(spark, d):
     return likelihood.join(F.broadcast(first), "term").select("term", "label", "n", M.r6("log_likelihood").alias("log_likelihood"))
 
 
+def all_naive_bayes_fit(spark, d):
+    """Every term of the vocabulary with every label, those that the label's documents lack too."""
+    labels = read(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("label"))
+    few = labels.limit(2_000_001).count() <= 2_000_000
+    rows = read(spark, d, "documents").select("doc_id", "text").join(F.broadcast(labels) if few else labels, "doc_id")
+    counts = rows.select("label", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("label", "term").agg(F.count("*").alias("n"))
+    terms = counts.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by_label"))
+    mass = counts.groupBy("label").agg(F.sum("n").alias("mass"))
+    classes = rows.select("label").distinct().join(F.broadcast(mass), "label", "left").crossJoin(F.broadcast(terms.agg(F.count("*").alias("size"))))
+    every = terms.crossJoin(F.broadcast(classes)).withColumn("n", F.coalesce(F.try_element_at("by_label", "label"), F.lit(0)).cast("long"))
+    return every.select("term", "label", "n", M.r6(F.log((F.col("n") + 1) / (F.coalesce("mass", F.lit(0)) + F.col("size")))).alias("log_likelihood"))
+
+
 def naive_bayes_lift(spark, d):
     docs = read(spark, d, "documents").select("doc_id", T.claim_key(F.col("text")).alias("key"), T.tokens(F.col("text")).alias("t"))
     split = X.stratified_split(_labelled(spark, d), {"train": 0.5}, "test", X.CALIBRATION_SALT).select("doc_id", "label", "split")
@@ -122,6 +135,7 @@ QUERIES = {
     "f17_systematic_sample": systematic_sample,
     "f08_row_validation": row_validation,
     "d11_naive_bayes_fit": naive_bayes_fit,
+    "d11_all_naive_bayes_fit": all_naive_bayes_fit,
     "l23_naive_bayes_lift": naive_bayes_lift,
 }
 
@@ -151,6 +165,11 @@ UNION ALL SELECT 'no_document', n FROM (SELECT count(*) AS n FROM labels ANTI JO
     "d11_naive_bayes_fit": f"""WITH {_NB}, c AS (SELECT label, term, count(*) AS n FROM (SELECT label, unnest(t) AS term FROM tr) GROUP BY ALL), v AS (SELECT count(DISTINCT term) AS size FROM c),
 m AS (SELECT label, sum(n) AS mass FROM c GROUP BY label), f AS (SELECT term FROM c GROUP BY term ORDER BY sum(n) DESC, term LIMIT 100)
 SELECT term, label, n, round(ln((n + 1) / (mass + size)), 6) AS log_likelihood FROM c JOIN m USING (label) SEMI JOIN f USING (term), v""".replace("SEMI JOIN f USING (term), v", "CROSS JOIN v SEMI JOIN f USING (term)"),
+    "d11_all_naive_bayes_fit": f"""WITH tr AS (SELECT label, {S.tokens('text')} AS t FROM (SELECT quality AS label, text FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)),
+c AS (SELECT label, term, count(*) AS n FROM (SELECT label, unnest(t) AS term FROM tr) GROUP BY ALL), v AS (SELECT count(DISTINCT term) AS size FROM c),
+k AS (SELECT tr.label, coalesce(any_value(mass), 0) AS mass FROM tr LEFT JOIN (SELECT label, sum(n) AS mass FROM c GROUP BY label) m ON m.label = tr.label GROUP BY tr.label), w AS (SELECT DISTINCT term FROM c)
+SELECT w.term, k.label, CAST(coalesce(n, 0) AS BIGINT) AS n, round(ln((coalesce(n, 0) + 1) / (mass + size)), 6) AS log_likelihood
+FROM w CROSS JOIN k CROSS JOIN v LEFT JOIN c ON c.term = w.term AND c.label = k.label""",
     "l23_naive_bayes_lift": f"""WITH {S.LABELLED}, {S.keys(X.CALIBRATION_SALT)}, sp AS (SELECT doc_id, r.label, CASE WHEN pos <= round_even(n * 0.5, 0) THEN 'train' ELSE 'test' END AS split FROM rows_ r JOIN keys USING (key)),
 d AS (SELECT doc_id, label, split, {S.tokens('text')} AS t FROM documents JOIN sp USING (doc_id)),
 c AS (SELECT label, term, count(*) AS n FROM (SELECT label, unnest(t) AS term FROM d WHERE split = 'train') GROUP BY ALL), v AS (SELECT count(DISTINCT term) AS size FROM c),
