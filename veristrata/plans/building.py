@@ -12,33 +12,27 @@ from veristrata.plans import sql as S
 from veristrata.plans.lexical import _docs, _gold_groups, _items, _ranked
 from veristrata.sources.tables import read, sentences
 
-_SENTENCES = [
-    "We don't have jobs. We have temps.", "They don't have equity in their home.", "He said wages rose in 2019.",
-    "wages fell by 4 percent", "Ohio is growing, but according to data wages fell in May", "Amazon announced cuts.",
-    "She is not a doctor.", "It isn't over", "Taxes are high", "Last year was the second quarter.", "several states and many large cities grew",
-    "I have no money!", "Look, they told us so", "The rate was 4.1% in July 2020", "Prices never fell", "there are no jobs",
-]
 
-
-def _claims(spark):
-    return spark.createDataFrame(list(enumerate(_SENTENCES)), "id int, text string")
+def _claims(spark, d):
+    """Every sentence of every document as a claim."""
+    return sentences(_docs(spark, d)).withColumnRenamed("sentence", "text")
 
 
 def claim_grammar(spark, d):
     t = F.col("text")
-    return _claims(spark).select("id", K.negated(t).alias("negated"), K.names_a_subject(t).alias("subject"), K.reports_speech(t).alias("reported"), K.valid_query(t).alias("valid"), T.check_worthy(t).alias("reason"))
+    return _claims(spark, d).select("doc_id", "idx", K.negated(t).alias("negated"), K.names_a_subject(t).alias("subject"), K.reports_speech(t).alias("reported"), K.valid_query(t).alias("valid"), T.check_worthy(t).alias("reason"))
 
 
 def claim_forms(spark, d):
     t = F.col("text")
-    return _claims(spark).select("id", K.positive_form(t).alias("positive"), K.object_phrase(t).alias("object"), F.array_join(K.compound_parts(t), "|").alias("parts"), F.array_join(K.group_qualifiers(t, F.lit("")), "|").alias("groups"))
+    return _claims(spark, d).select("doc_id", "idx", K.positive_form(t).alias("positive"), K.object_phrase(t).alias("object"), F.array_join(K.compound_parts(t), "|").alias("parts"), F.array_join(K.group_qualifiers(t, F.lit("")), "|").alias("groups"))
 
 
 def skip_ladder(spark, d):
     """The first reason for which a claim is left out, if there is one."""
     t = F.col("text")
     reason = F.when(T.check_worthy(t) != "check_worthy", "not_worthy").when(K.reports_speech(t), "reported_speech").when(~K.names_whom(t), "names_no_one").when(~K.names_a_subject(t), "no_subject")
-    return _claims(spark).select("id", reason.alias("skipped"))
+    return _claims(spark, d).select("doc_id", "idx", reason.alias("skipped"))
 
 
 def negated_items(spark, d):
@@ -50,11 +44,11 @@ def segments(spark, d):
 
 
 def figures(spark, d):
-    return _claims(spark).select("id", F.explode(K.read_figures("text")).alias("f")).select("id", "f.*")
+    return _claims(spark, d).select("doc_id", "idx", F.explode(K.read_figures("text")).alias("f")).select("doc_id", "idx", "f.*")
 
 
 def periods(spark, d):
-    return _claims(spark).select("id", F.explode(K.read_periods("text")).alias("p")).select("id", "p.*")
+    return _claims(spark, d).select("doc_id", "idx", F.explode(K.read_periods("text")).alias("p")).select("doc_id", "idx", "p.*")
 
 
 def links(spark, d):
@@ -110,7 +104,7 @@ def swapped_pairs(spark, d):
 
 
 def augmented_pairs(spark, d):
-    pairs = _claims(spark).select(F.col("id").cast("string").alias("id"), F.lit("states").alias("relation"), F.lit("p").alias("premise"), F.col("text").alias("hypothesis"), F.lit("g").alias("grp"), K.negated(F.col("text")).alias("negated"))
+    pairs = _claims(spark, d).select(F.concat_ws(":", "doc_id", "idx").alias("id"), F.lit("states").alias("relation"), F.lit("p").alias("premise"), F.col("text").alias("hypothesis"), F.lit("g").alias("grp"), K.negated(F.col("text")).alias("negated"))
     return B.negation_augment(pairs, 1.0, 1, pairs).select("id", "relation", "hypothesis")
 
 
@@ -188,7 +182,6 @@ QUERIES = {
     "l22_prf": prf,
 }
 
-_V = "c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s.replace(chr(39), chr(39) * 2)}')" for i, s in enumerate(_SENTENCES)) + ") t(id, text))"
 _NEG = r"regexp_matches({0}, '(?i)\b(?:not|no|n''t|never|nobody|nothing)\b|n[''’]t\b')"
 _CONTENT = f"list_filter({S.tokens('text')}, lambda t: t NOT IN ({S.quoted(T.FUNCTION_WORDS)}))"
 _EV = f"""WITH {S.BM25}, ev AS (SELECT qid AS id, rank, CAST(r.doc_id AS VARCHAR) AS page, array_to_string(list_slice({S.tokens('text')}, 1, 2), ' ') AS title, text FROM ranked r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 10),
