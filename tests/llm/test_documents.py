@@ -173,9 +173,9 @@ def test_fingerprint_chains(spark):
         for b in rng.sample(range(64), 2):
             at ^= 1 << b
     signed = [x - (1 << 64) if x >> 63 else x for x in chain]
-    classes = spark.createDataFrame([(x, i) for i, x in enumerate(signed)], "fp long, component long")
-    found = simhash.components(classes, simhash.fingerprint_links(classes))
-    assert {r.component for r in found.collect()} == {0} and found.count() == 60
+    classes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    found = simhash.components(simhash.fingerprint_links(classes))
+    assert {r.least for r in found.collect()} == {min(signed)} and found.count() == 60
 
 
 def _contamination(text, items):
@@ -206,8 +206,16 @@ def test_contamination(spark, docs, block_words):
     assert none == 0
 
 
-def test_remove_spans():
-    assert decontaminate.remove_spans([b"a", b"b", b"c", b"d"], [(0, 1), (1, 3)], 2) == [b"a", b"d"]
+def test_remove_spans(spark):
+    """A long find is cut from a long text, all finds from a text that they make up a share of, a short find stays."""
+    item, short = " ".join(f"I{i}" for i in range(20)), "tiny item"
+    other = " ".join(f"o{i}" for i in range(900))
+    rows = [(1, f"{other} -- {item}! end"), (2, f"{other} Tiny, item end"), (3, f"own words tiny item {item}"), (4, other), (5, None)]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kept string")
+    benchmark = spark.createDataFrame([("x", item), ("y", short)], "item_id string, text string")
+    for block_words in (100, 20):
+        got = {r.doc_id: (r.clean_text, r.kept) for r in decontaminate.remove_spans(docs, benchmark, ["kept"], block_words=block_words).collect()}
+        assert got == {1: (f"{other} -- ! end", "k"), 2: (rows[1][1], "k"), 3: ("own words ", "k"), 4: (other, "k"), 5: (None, "k")}
 
 
 def test_sentence_pieces(docs):
@@ -234,9 +242,43 @@ def test_sentence_pieces(docs):
         return out
 
     got = {r.doc_id: r for r in sentence_pieces.sentence_pieces(docs, PIECES, carry=["text"]).collect()}
+    compared = {r.doc_id: r for r in sentence_pieces.sentence_pieces(docs, PIECES, decode=sentence_pieces.COMPARED).collect()}
     for i, text in ROWS:
-        assert list(got[i].ids) == encode(text), (i, text)
-        assert got[i].decoded == (text or "")
+        assert list(got[i].ids) == list(compared[i].ids) == encode(text), (i, text)
+        assert got[i].decoded == (text or "") and compared[i].round_trip
+
+
+def test_long_units_are_walked_alike(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    signs = ["the", "ing", "é", "日本", "x", "▁", "😀", "\x01", "e", " "]
+    units = pa.array(["".join(rng.choice(signs) for _ in range(n)).encode() for n in (1, 3, 50, 700) for _ in range(8)], pa.binary())
+    vocabulary = read_vocabulary(PIECES)
+    pieces, words = sentence_pieces.UnigramModel(vocabulary), token_counts.LongestMatch(vocabulary)
+    want = [x.tolist() for x in (*pieces.encode_units(units), *words.counts(units))]
+    monkeypatch.setattr(sentence_pieces, "LONG_UNIT", 0)
+    monkeypatch.setattr(token_counts, "LONG_WORD", 0)
+    assert [x.tolist() for x in (*pieces.encode_units(units), *words.counts(units))] == want
+
+
+def test_unigram_log_scores():
+    """Real log scores, of which the best sum isn't the longest match: against every segmentation."""
+    import itertools
+
+    import pyarrow as pa
+
+    from veristrata.llm.trie import NORMAL, UNKNOWN, Vocabulary
+
+    scores = {"▁": -2.5, "a": -3.1, "b": -3.3, "c": -4.0, "ab": -4.9, "bc": -5.2, "abc": -11.0, "▁a": -4.1, "ca": -6.4, "▁abc": -9.5}
+    vocabulary = Vocabulary(["<unk>", *scores], [0.0, *scores.values()], [UNKNOWN, *[NORMAL] * len(scores)], True)
+    model = sentence_pieces.UnigramModel(vocabulary)
+    for text in map("".join, itertools.chain.from_iterable(itertools.product("abc", repeat=n) for n in range(1, 7))):
+        counts, ids = model.encode_units(pa.array([text.encode()], pa.binary()))
+        s = "▁" + text
+        cuts = ([0, *c, len(s)] for k in range(len(s)) for c in itertools.combinations(range(1, len(s)), k))
+        best = max(sum(scores.get(s[i:j], -99) for i, j in itertools.pairwise(c)) for c in cuts)
+        assert abs(sum(vocabulary.scores[i] for i in ids) - best) < 1e-9 and "".join(vocabulary.pieces[i] for i in ids) == s
 
 
 def test_token_counts(docs):
@@ -315,10 +357,10 @@ def test_lm_scoring(spark, docs):
             whole[p] += 1
     table = {p for p, c in whole.items() if c * 300 >= total}
 
-    def model(members):
+    def model(members, left_out):
         uni, context, pair = defaultdict(int), defaultdict(int), defaultdict(int)
         for i in members:
-            for v, w in pairs(texts[i]):
+            for v, w in pairs(texts[i]) if i != left_out else ():
                 uni[w] += 1
                 context[v] += 1
                 pair[v, w] += 1
@@ -333,8 +375,8 @@ def test_lm_scoring(spark, docs):
 
         return loss
 
-    target, background = model(range(20, 40)), model(texts)
     for i in (1, 2, 5, 13, 25, 30):
+        target, background = model(range(20, 40), i), model(texts, i)
         own = pairs(texts[i])
         want = [sum(f(v, w) for v, w in own) / max(1, len(own)) for f in (target, background)]
         assert got[i].n_tokens == len(own)
@@ -354,10 +396,10 @@ def test_lm_scoring_keeps_rare_words_and_pairs(spark, monkeypatch):
     tokens = {i: (t or "").lower().split() for i, t in texts.items()}
     v_all = len({w for ws in tokens.values() for w in ws})
 
-    def model(members):
+    def model(members, left_out):
         uni, context, pair = defaultdict(int), defaultdict(int), defaultdict(int)
         for i in members:
-            for v, w in zip(["<s>", *tokens[i]], tokens[i]):
+            for v, w in zip(["<s>", *tokens[i]], tokens[i]) if i != left_out else ():
                 uni[w] += 1
                 context[v] += 1
                 pair[v, w] += 1
@@ -369,14 +411,59 @@ def test_lm_scoring_keeps_rare_words_and_pairs(spark, monkeypatch):
 
         return loss
 
-    target, background = model((2, 5)), model(texts)
     for i in texts:
+        target, background = model((2, 5), i), model(texts, i)
         own = list(zip(["<s>", *tokens[i]], tokens[i]))
         want = [sum(f(v, w) for v, w in own) / max(1, len(own)) for f in (target, background)]
         assert got[i].n_tokens == len(own)
         assert abs(got[i].target_loss - want[0]) < 1e-9 and abs(got[i].background_loss - want[1]) < 1e-9
 
 
+def test_rows_that_share_a_doc_id(spark):
+    passage, own = " ".join(f"p{i}" for i in range(20)), " ".join(f"q{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, passage), (2, passage), (2, own), (2, f"{own} x"), (3, own)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == [(1, 20, 0), (2, 14, 0), (2, 15, 0), (2, 20, 20), (3, 14, 14)]
+    items = spark.createDataFrame([("b", own), ("a", own), ("c", "p1 p2")], "item_id string, text string")
+    for block_words in (100, 14):
+        found = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, items, block_words=block_words).collect())
+        both, one = (hashlib.sha256(x.encode()).hexdigest() for x in ("a,b", "c"))
+        assert found == [(1, 20, 2, 1, one), (2, 14, 14, 2, both), (2, 15, 14, 2, both), (2, 20, 2, 1, one), (3, 14, 14, 2, both)]
+
+
+def test_rows_without_a_doc_id_link_others(spark, monkeypatch):
+    """doc 1 and doc 2 are each two bits from a row without a doc_id, and four from each other."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0b0011, "x"), (None, 0, "x"), (2, 0b1100, "x"), (None, -1, "x"), (None, -1, "y"), (5, 1 << 40 | 1 << 50 | 1 << 60, "x")]
+    marked = spark.createDataFrame(rows, "doc_id long, fp long, component string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, carry=None: docs.select("doc_id", *[F.col(c) for c in carry or []], "fp"))
+    got = sorted(((r.doc_id, r.fp, r.component) for r in simhash.simhash_components(marked).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (None, 0, 1), (2, 12, 1), (None, -1, None), (None, -1, None), (5, rows[5][1], 5)], key=str)
+
+
+def test_names_that_operators_use(spark):
+    """Columns named like the operators' own, as extra input and as carried."""
+    names = ["_target", "target", "kept", "row", "_host", "likelihood", "text_key", "spans", "fp", "component", "_key"]
+    rows = [(i, f"word{i % 3} and the other one here {i}", "en", "s", *["v"] * len(names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, "the other one")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    for out in (
+        lm_scoring.cross_entropy_difference(docs, labels, ["_target"]),
+        lm_scoring.cross_entropy_difference(docs, labels, ["target"], most_words=50, most_pairs=50),
+        decontaminate.contamination(docs, items, ["kept", "text_key"]),
+        decontaminate.remove_spans(docs, items, ["kept"]),
+        language_id.identify_documents(docs, ["doc_id", "_host", "likelihood"]),
+        substring_dedup.substring_dedup(docs, carry=["row", "text_key"]),
+        simhash.simhash_components(docs, carry=["_key"]),
+        token_counts.token_counts(docs, PIECES, ["row"]),
+        sentence_pieces.sentence_pieces(docs, PIECES, ["row"]),
+        quality_rules.quality_rules(docs, labels),
+    ):
+        assert out.count() == 12
+
+
 def test_empty_tables(docs):
     none = docs.where("doc_id < 0")
     assert substring_dedup.substring_dedup(none).count() == 0

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import operator
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 #: bytes.split() without an argument splits on exactly these six.
@@ -29,12 +35,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine is set, but only if driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veristrata-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -143,18 +151,35 @@ def chunks(ids: list, texts: list, overlap: int, limit: int = PIECE_BYTES) -> It
         yield out
 
 
-#: Rows of ids that may be broadcast; beyond it the join shuffles.
-MOST_BROADCAST = 2_000_000
+#: Bytes of rows that may be broadcast; beyond it the join shuffles.
+MOST_BROADCAST = 32 << 20
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(name), F.lit(0)) * 8 + 24
+    return F.lit(16)
 
 
 def small(keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """keys, to be broadcast if a count shows that they are few. Give a written table: it is counted."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+    """keys, to be broadcast if their measured bytes are few. Give a written table: it is read for that."""
+    sizes = [_width(f.name, f.dataType) for f in keys.schema.fields]
+    total = keys.agg(F.sum(functools.reduce(operator.add, sizes).cast("long"))).first()[0]
+    return F.broadcast(keys) if (total or 0) <= most else keys
+
 
+def row_key(*columns: str) -> Column:
+    """Tells rows of one doc_id apart by what they hold; rows that hold the same are judged the same."""
+    return F.xxhash64(*columns)
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these doc_ids; rows with a null doc_id stay."""
-    return docs.join(small(ids), "doc_id", "left_anti")
+
+def without(docs: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows that are listed by doc_id (null is a value like any other) and _key; key computes _key from docs."""
+    listed = small(rows.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_listed")))
+    return docs.join(listed, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_listed")), "left_anti")
 
 
 def open_uri(uri: str):
@@ -168,25 +193,52 @@ def open_uri(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def trim() -> None:
-    """Gives memory that this process no longer uses back to the system: workers live on for later tasks."""
-    import ctypes
-    import gc
+_held: dict[object, object] = {}
+
 
-    import pyarrow as pa
+def held(key: object, build: Callable[[], object]):
+    """What build makes, kept by this worker for its later tasks until another key is asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
 
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except OSError:
+        return None
+
+
+@functools.cache
+def _frugal() -> None:
+    """Large blocks of memory go back to the system as soon as they are freed, for the life of this worker."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        _libc().mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD; setting it also stops its growth
+        _libc().mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except AttributeError:  # another C library
+        pass
+
+
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the system: workers live on for later tasks."""
+    _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
+        _libc().malloc_trim(0)
+    except AttributeError:
         pass
 
 
 def lean(mapper):
-    """A mapper of batches whose worker is trimmed when its task ends."""
+    """A mapper of batches whose worker gives memory back, at last when its task ends."""
 
     def run(batches):
+        _frugal()
         try:
             yield from mapper(batches)
         finally:

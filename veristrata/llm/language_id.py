@@ -7,7 +7,9 @@ the corpus'. They are soft counts of the text posteriors over all rows, by group
 Declared language: how often rows with a declaration read as each language, again over all rows.
 
 Defined results: a row without letters or other non-space bytes has no text evidence, language null and is rejected; a
-null host, suffix or declaration adds no evidence; without labelled rows every language is null; an empty table gives an empty table.
+null host, suffix or declaration adds no evidence; without labelled rows every language is null; an empty table gives an empty
+table; of languages with equal posteriors the first by name is taken; rows that share an id are read each for itself. More
+than MOST_LANGUAGES languages raise an error. Columns of the input keep their names: only the named evidence and the carry columns are used.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veristrata.llm.common import as_bytes, lean, materialise, small
@@ -65,18 +67,20 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
     """From labelled: doc_id, text, lang."""
-    known = labelled.where("lang is not null and doc_id is not null")
-    languages = sorted(r[0] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
+    known = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = sorted(sizes)
     if not languages:
         return TextModel([], np.zeros((1 << BITS, 0)))
-    ids = None
-    for language in languages:
-        own = known.where(F.col("lang") == language).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        ids = own if ids is None else ids.unionByName(own)
-    ids = materialise(ids.distinct(), "sample")
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", as_bytes("text"))
+    # the ids with the smallest hashes: few pass the cut, and these are numbered
+    cut = F.create_map(*[F.lit(x) for g in languages for x in (g, (2**63 - 1) * min(4 * sample, sizes[g]) // sizes[g])])
+    order = F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))
+    near = known.select("doc_id", "lang", order.alias("_order")).where(F.col("_order") <= cut[F.col("lang")]).distinct()
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))).where(F.col("_n") <= sample)
+    ids = materialise(near.select("doc_id", "lang"), "sample")
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", as_bytes("text"))
     found = rows.mapInArrow(lean(_counter), "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << BITS, len(languages)))
     place = {x: i for i, x in enumerate(languages)}
@@ -117,11 +121,11 @@ def identify(rows: DataFrame, model: TextModel, carry: list[str] | None = None,
     """The carry columns, language, confidence and accepted of each row; host, suffix, declared and text name the evidence."""
     spark = rows.sparkSession
     null = F.lit(None).cast("string")
-    row = F.struct(*[F.col(c) for c in carry or ["doc_id"]], *[F.lower(x if x is not None else null).alias(name) for name, x in (("_host", host), ("_suffix", suffix), ("_declared", declared))])
+    row = F.struct(F.struct(*[F.col(c) for c in carry or ["doc_id"]]).alias("kept"), *[F.lower(x if x is not None else null).alias(name) for name, x in (("_host", host), ("_suffix", suffix), ("_declared", declared))])
     source = rows.select(row.alias("row"), (text if text is not None else F.col("text")).cast("binary").alias("text"))
     kind = source.schema["row"].dataType.simpleString()
     if not model.languages:
-        return source.select("row.*").select(*(carry or ["doc_id"]), null.alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
+        return source.select("row.kept.*", null.alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
     shared = spark.sparkContext.broadcast(model.scores)
     read = materialise(source.mapInArrow(lean(_scorer(shared)), f"row {kind}, likelihood array<double>"), "likelihoods")
     read = read.select("row.*", "likelihood").withColumn("posterior", F.when(F.col("likelihood").isNotNull(), F.expr(_softmax("likelihood"))))
@@ -146,7 +150,7 @@ def identify(rows: DataFrame, model: TextModel, carry: list[str] | None = None,
     names = F.array(*[F.lit(x) for x in model.languages])
     confidence = F.coalesce(F.array_max("fused"), F.lit(0.0))
     language = F.when(F.col("likelihood").isNotNull(), F.element_at(names, F.array_position("fused", F.array_max("fused")).cast("int")))
-    return out.select(*(carry or ["doc_id"]), language.alias("language"), confidence.alias("confidence"), (confidence >= accept).alias("accepted"))
+    return out.select("kept.*", language.alias("language"), confidence.alias("confidence"), (confidence >= accept).alias("accepted"))
 
 
 def identify_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:

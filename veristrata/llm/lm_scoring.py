@@ -5,7 +5,9 @@ unknown word. Every word and every pair of neighbours counts, however rare:
 
     P(w | v) = L * c(v, w) / c(v) + (1 - L * kept(v) / c(v)) * P(w)        P(w) = (c(w) + 1) / (N + V)
 
-where kept(v) = c(v), as no pair is left out. Nothing that grows with the corpus is held in one place: documents are written
+where kept(v) = c(v), as no pair is left out. A row is scored by models that haven't read it: its own counts are taken out of
+the background model, and out of the target model if it is one of the targets. Else every text would be predicted from itself, a
+target doubly so, and rare words would say nothing. Nothing that grows with the corpus is held in one place: documents are written
 in blocks of about BLOCK_BYTES as codes of the block's own words. Each block hands on its distinct words and pairs with their
 counts, dealt by hash into packed buckets whose number grows with the corpus; a bucket sums them by word or pair and gives each
 block the sums back in the order in which it had sent them. A pair with a word that no other block has isn't sent, as the
@@ -117,18 +119,29 @@ def _pair_counter(shared):
     return count
 
 
+def _within(owner: np.ndarray, keys: np.ndarray, size: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """How often (or with what sum of weights) each token's key, below size, comes up in its own row."""
+    both, at = np.unique(owner * size + keys, return_inverse=True)
+    return np.bincount(at, weights, len(both)).astype(np.int64)[at]
+
+
+def _losses(word_n: np.ndarray, context_n: np.ndarray, kept_n: np.ndarray, pair_n: np.ndarray, total: np.ndarray, n_words: int, weight: float) -> np.ndarray:
+    """The loss of each token, given the counts of its word, context and pair in a model, and the model's tokens."""
+    seen = np.maximum(context_n, 1)
+    return -np.log((1 - weight * kept_n / seen) * (word_n + 1.0) / (total + n_words + 1) + weight * pair_n / seen)
+
+
 class Bigrams:
-    """One corpus' model: word counts by id, context counts, and counts of the pairs in the shared table."""
+    """One corpus' model: counts by word id, by context, of a context's pairs in the shared table, and of these pairs."""
 
     def __init__(self, size: int, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, counts: np.ndarray, weight: float):
-        self.unigram = (words + 1.0) / (words.sum() + size - 1)
-        kept = np.bincount(pairs // size, counts, size)
-        seen = np.maximum(contexts, 1)
-        self.rest = 1 - weight * kept / seen
-        self.direct = weight * counts / seen[pairs // size]
+        self.words, self.contexts, self.counts, self.weight = words, contexts, np.append(counts, 0), weight
+        self.kept = np.bincount(pairs // size, counts, size).astype(np.int64)
+        self.total, self.n_words = int(words.sum()), size - 2
 
-    def losses(self, context: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return -np.log(self.rest[context] * self.unigram[word] + np.where(at >= 0, self.direct[at], 0.0))
+    def losses(self, context: np.ndarray, word: np.ndarray, at: np.ndarray, own: tuple) -> np.ndarray:
+        """own: what the row's own counts take from those of the word, context, kept pairs and pair, and from the tokens."""
+        return _losses(self.words[word] - own[0], self.contexts[context] - own[1], self.kept[context] - own[2], np.where(at >= 0, self.counts[at], 0) - own[3], self.total - own[4], self.n_words, self.weight)
 
 
 class Models:
@@ -149,8 +162,12 @@ def _scorer(shared):
                 if len(models.pairs):
                     at = np.minimum(np.searchsorted(models.pairs, unique), len(models.pairs) - 1)
                     at[models.pairs[at] != unique] = -1
+                context, word, at = pairs // size, pairs % size, at[where]
                 n = np.bincount(owner, minlength=len(batch))
-                sums = [np.bincount(owner, m.losses(unique // size, unique % size, at)[where], len(batch)) / np.maximum(n, 1) for m in (models.target, models.background)]
+                inside = at >= 0
+                own = (_within(owner, word, size), _within(owner, context, size), _within(owner, context, size, inside), np.where(inside, _within(owner, where, len(unique) + 1), 0), n[owner])
+                target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)[owner]
+                sums = [np.bincount(owner, m.losses(context, word, at, o), len(batch)) / np.maximum(n, 1) for m, o in ((models.target, [x * target for x in own]), (models.background, own))]
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.float64()) for x in sums]], names=["row", "n_tokens", "target_loss", "background_loss"])
 
     return score
@@ -386,18 +403,19 @@ def _block_scorer(folder: str, n_buckets: int, n_pair_buckets: int, tokens: tupl
         pairs, at = found.pairs()
         places, starts, v, w = found.dealt_pairs(pairs, _given(found, totals, "ids", n_buckets, 1)[0], n_pair_buckets)
         counts = _given(found, totals, "counts", n_buckets, 4)
-        v, w = pairs // found.size, pairs % found.size
+        v, w = found.before, found.codes
+        own = _within(found.owner, w, found.size), _within(found.owner, v, found.size), _within(found.owner, at, len(pairs) + 1), found.n_tokens[found.owner]
         buckets, losses = sums.column("bucket").to_pylist(), []
         for k, (weights, name) in enumerate(((None, "n"), (found.target, "n_target"))):
             n = np.bincount(at, weights, len(pairs)).astype(np.int64)
             for bucket, data in zip(buckets, sums.column(name).to_pylist()):
                 n[places[starts[bucket] : starts[bucket + 1]]] = _unpack(data)
-            unigram = (counts[k][w] + 1.0) / (tokens[k] + n_words + 1)
-            seen = counts[k + 2][v]
-            loss = -np.log(np.where(seen > 0, 1 - weight, 1.0) * unigram + weight * n / np.maximum(seen, 1))
-            losses.append(np.bincount(found.owner, loss[at], len(found.rows)) / np.maximum(found.n_tokens, 1))
+            less = own if weights is None else [x * weights for x in own]
+            context = counts[k + 2][v] - less[1]
+            loss = _losses(counts[k][w] - less[0], context, context, n[at] - less[2], tokens[k] - less[3], n_words, weight)
+            losses.append(np.bincount(found.owner, loss, len(found.rows)) / np.maximum(found.n_tokens, 1))
         out = pa.table([found.rows.column(0), found.rows.column(1), pa.array(losses[1], pa.float64()), pa.array(losses[0], pa.float64())], names=["row", "n_tokens", "target_loss", "background_loss"])
-        del found, pairs, at, v, w, places, counts
+        del found, pairs, at, v, w, places, counts, own, less, context, loss
         trim()
         return out
 
@@ -427,13 +445,12 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, carry: list[st
 
     targets: doc_id of the documents that the target model is trained on.
     """
-    ids = materialise(targets.select("doc_id").where("doc_id is not null").distinct().withColumn("_target", F.lit(True)), "targets")
-    marked = docs.join(small(ids), "doc_id", "left")
+    ids = materialise(targets.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "targets")
     row = F.struct(F.col("doc_id"), *[F.col(c) for c in carry or []])
+    source = docs.select("doc_id", row.alias("row"), F.col("text").cast("string").alias("text")).join(small(ids), "doc_id", "left").select("row", "text", F.coalesce("target", F.lit(False)).alias("target"))
     if most_words is None and most_pairs is None:
-        out = _whole_models(marked.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("_target"), F.lit(False)).alias("target")), weight)
+        out = _whole_models(source, weight)
     else:
-        models = docs.sparkSession.sparkContext.broadcast(train(marked, "_target", most_words, most_pairs, weight))
-        source = docs.select(row.alias("row"), F.col("text").alias("text"))
+        models = docs.sparkSession.sparkContext.broadcast(train(source, "target", most_words, most_pairs, weight))
         out = source.mapInArrow(lean(_scorer(models)), f"row {source.schema['row'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double")
     return out.select("row.*", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

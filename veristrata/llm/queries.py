@@ -39,8 +39,8 @@ def op5_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentence_pieces.sentence_pieces(read(spark, sf_dir, "documents"), PIECES, carry=["text"])
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    out = sentence_pieces.sentence_pieces(read(spark, sf_dir, "documents"), PIECES, decode=sentence_pieces.COMPARED)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,15 +96,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op4_substring_dedup": r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM d)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM d)),
 low AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (s) WHERE first < doc_id),
-lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
-kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n
-         FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (s) WHERE first < doc_id),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n
+         FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id)""",
+FROM d LEFT JOIN kept USING (r)""",
     "op5_web_archives": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT h, max(page_id) AS named FROM p GROUP BY h)

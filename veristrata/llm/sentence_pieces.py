@@ -13,6 +13,8 @@ a space, like every marker; bytes that are not UTF-8 after decoding become U+FFF
 
 from __future__ import annotations
 
+import array
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,6 +28,10 @@ from veristrata.llm.common import lean
 from veristrata.llm.trie import BYTE, MARK, NORMAL, UNKNOWN, USER_DEFINED, DoubleArray, Encoded, Vocabulary, by_size, matrix, ragged, read_vocabulary, text_slices
 
 UNKNOWN_PENALTY = 10.0
+#: Bytes of text that are encoded together.
+SLICE = 2 << 20
+#: Units of more bytes are solved alone, byte by byte.
+LONG_UNIT = 1 << 12
 
 
 class UnigramModel:
@@ -50,6 +56,9 @@ class UnigramModel:
         self.decoded_sizes = np.array([len(x) for x in decoded], np.int64)
         self.decoded_starts = np.cumsum(self.decoded_sizes) - self.decoded_sizes
         self.decoded = np.frombuffer(b"".join(decoded), np.uint8)
+        self.piece_bytes = [len(piece.encode()) for piece in vocabulary.pieces]
+        self.reach = max([4, *(self.piece_bytes[i] for i in matched)])
+        self.lists = None
 
     def encode_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of pieces, pieces) of distinct units; their markers are written as spaces, the first left out."""
@@ -57,7 +66,7 @@ class UnigramModel:
         sizes = np.zeros(len(units), np.int64)
         found = []
         for places, part, width in by_size(marked):
-            own, ids = self._viterbi(part, width)
+            own, ids = self._viterbi(part, width) if width <= LONG_UNIT else self._walk(part)
             sizes[places] = own
             found.append((places, own, ids))
         starts = np.cumsum(sizes) - sizes
@@ -119,6 +128,55 @@ class UnigramModel:
             ids[raw] = self.bytes[text[start[raw] + at[raw], who[raw]]]
         return np.bincount(who, minlength=n), ids
 
+    def _walk(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units of any length, one after another: 4 bytes are kept for each byte of a unit, and sums only as far back as a piece reaches."""
+        if self.lists is None:
+            self.lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist()
+        base, check, values, scores = self.lists
+        reach, fallback, out, sizes = self.reach, self.unknown_score, [], []
+        for unit in units.to_pylist():
+            n = len(unit)
+            piece = array.array("i", bytes(4 * (n + 1)))
+            sums = [-math.inf] * (reach + 1)
+            sums[0] = 0.0
+            for i in range(n):
+                here = sums[i % (reach + 1)]
+                sums[i % (reach + 1)] = -math.inf  # from now on the place of what ends reach + 1 bytes later
+                byte = unit[i]
+                if byte & 0xC0 == 0x80 or here == -math.inf:
+                    continue
+                char = min(1 if byte < 0x80 else 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4, n - i)
+                state, single = 0, False
+                for j in range(i, n):
+                    to = base[state] + unit[j]
+                    if not (base[state] > 0 and to < len(check) and check[to] == state):
+                        break
+                    state = to
+                    value = values[state]
+                    if value >= 0:
+                        end = j + 1
+                        single = single or end - i == char
+                        if here + scores[value] > sums[end % (reach + 1)]:
+                            sums[end % (reach + 1)], piece[end] = here + scores[value], value
+                if not single and here + fallback > sums[(i + char) % (reach + 1)]:
+                    sums[(i + char) % (reach + 1)], piece[i + char] = here + fallback, self.unknown
+            ids, end = array.array("i"), n
+            while end:
+                own = piece[end]
+                if own == self.unknown:
+                    start = end - 1
+                    while unit[start] & 0xC0 == 0x80:
+                        start -= 1
+                    ids.extend([int(self.bytes[b]) for b in reversed(unit[start:end])] if self.falls_back else [own])
+                    end = start
+                else:
+                    ids.append(own)
+                    end -= self.piece_bytes[own]
+            ids.reverse()
+            out.append(np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32))
+            sizes.append(len(ids))
+        return np.array(sizes, np.int64), np.concatenate(out)
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The texts of id sequences that end at ends, one after another."""
         sizes = self.decoded_sizes[ids]
@@ -150,23 +208,33 @@ def units_of(texts: pa.Array, dummy_prefix: bool) -> tuple[np.ndarray, pa.Array]
     return np.diff(split.offsets.to_numpy()).astype(np.int64), split.flatten().cast(pa.binary())
 
 
-def _coder(shared, decode: bool):
+#: What sentence_pieces can return of a decoded text: the text itself, or only whether it is the text that was encoded.
+TEXT, COMPARED = "decoded", "round_trip"
+
+
+def _coder(shared, decode: str | None):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: UnigramModel = shared.value
         cache = Encoded(model.encode_units)
         for whole in batches:
-            for batch in text_slices(whole, 1):
-                counts, units = units_of(batch.column(1).cast(pa.string()), model.dummy_prefix)
+            for batch in text_slices(whole, 1, SLICE):
+                texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
+                counts, units = units_of(texts, model.dummy_prefix)
                 places = cache.places(units)
                 sizes = cache.sizes[places]
                 ids = cache.items[ragged(cache.starts[places], sizes)]
                 ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
+                del units, places, sizes
                 columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))]
                 names = ["row", "ids"]
                 if decode:
-                    texts = [x.decode("utf-8", "replace") for x in model.decode(ids, ends)]
-                    columns += [pa.array(texts, pa.string()), pa.array(np.add.reduceat(np.append(model.is_byte[ids], False).astype(np.int64), np.minimum(np.concatenate(([0], ends[:-1])), len(ids))) * (np.diff(np.concatenate(([0], ends))) > 0), pa.int64())]
-                    names += ["decoded", "n_byte_pieces"]
+                    found = model.decode(ids, ends)
+                    if decode == TEXT:
+                        columns.append(pa.array([x.decode("utf-8", "replace") for x in found], pa.string()))
+                    else:
+                        columns.append(pc.equal(pa.array(found, pa.binary()), texts.cast(pa.binary())))
+                    columns.append(pa.array(np.add.reduceat(np.append(model.is_byte[ids], False).astype(np.int64), np.minimum(np.concatenate(([0], ends[:-1])), len(ids))) * (np.diff(np.concatenate(([0], ends))) > 0), pa.int64()))
+                    names += [decode, "n_byte_pieces"]
                 yield pa.record_batch(columns, names=names)
 
     return code
@@ -176,11 +244,11 @@ def _broadcast(spark, path: str):
     return spark.sparkContext.broadcast(UnigramModel(read_vocabulary(path)))
 
 
-def sentence_pieces(docs: DataFrame, path: str, carry: list[str] | None = None, decode: bool = True) -> DataFrame:
-    """doc_id, the carry columns and ids (array<int>) of each row; with decode, also the text decoded from ids, and n_byte_pieces."""
+def sentence_pieces(docs: DataFrame, path: str, carry: list[str] | None = None, decode: str | None = TEXT) -> DataFrame:
+    """doc_id, the carry columns and ids (array<int>) of each row; with decode also n_byte_pieces and, for TEXT, decoded (the text decoded from ids) or, for COMPARED, round_trip (whether that is the row's text, null read as empty)."""
     row = F.struct(F.col("doc_id"), *[F.col(c) for c in carry or []])
     source = docs.select(row.alias("row"), F.col("text").alias("text"))
     kind = source.schema["row"].dataType.simpleString()
-    more = ", decoded string, n_byte_pieces long" if decode else ""
+    more = f", {decode} {'string' if decode == TEXT else 'boolean'}, n_byte_pieces long" if decode else ""
     out = source.mapInArrow(lean(_coder(_broadcast(docs.sparkSession, path), decode)), f"row {kind}, ids array<int>{more}")
-    return out.select("row.*", "ids", *(["decoded", "n_byte_pieces"] if decode else []))
+    return out.select("row.*", "ids", *([decode, "n_byte_pieces"] if decode else []))

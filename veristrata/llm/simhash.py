@@ -13,7 +13,9 @@ A task returns a spanning forest of its links, not all pairs. Components follow
 jumping over written tables, so no component is ever collected.
 
 Defined results: null or word-less text has fingerprint zero and is linked like any other; fewer words than a shingle
-make one shingle of them all; a null doc_id is given a fingerprint, links others like any row and has the component of its class.
+make one shingle of them all; a null doc_id is given a fingerprint, links others like any row and has the component of its
+class, which is null only where no row of it has a doc_id; rows that share a doc_id are rows of their own. doc_id may be of any
+type with an order. Columns of the input keep their names: the operator uses only doc_id, text and the carry columns.
 """
 
 from __future__ import annotations
@@ -77,12 +79,14 @@ def fingerprint(data: bytes | None, size: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [fingerprint(data.as_py()) for data in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), pa.array(values, pa.int64())], names=["row", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row."""
-    return docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(lean(_fingerprints), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the carry columns and fp of each row."""
+    source = docs.select(F.struct("doc_id", *(carry or [])).alias("row"), as_bytes("text").alias("text"))
+    kind = source.schema["row"].dataType.simpleString()
+    return source.mapInArrow(lean(_fingerprints), f"row {kind}, fp long").select("row.*", "fp")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -194,34 +198,31 @@ def fingerprint_links(classes: DataFrame, limit: int = MOST_BITS, blocks: int =
     return routed.groupBy("cell").applyInArrow(_linker(limit), "a long, b long")
 
 
-def components(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, component): the least first document among all fingerprints reachable over the edges.
+def components(edges: DataFrame) -> DataFrame:
+    """(fp, least): for each fingerprint of the edges (a, b), the least one of all that are reachable.
 
     Each round takes the least label over the neighbours and jumps to the label's own label. The number of rounds grows with the logarithm of a component's diameter.
     """
     edges = materialise(edges.distinct(), "edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialise(both, "links")
-    touched = both.select(F.col("a").alias("fp")).distinct()
-    label = materialise(classes.join(touched, "fp").select("fp", "component"), "labels")
-    owner = label.select(F.col("component").alias("first"), F.col("fp").alias("first_fp"))
+    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = materialise(both.select(F.col("a").alias("fp")).distinct().withColumn("least", F.col("fp")), "labels")
     while True:
-        near = both.join(label.select(F.col("fp").alias("b"), F.col("component").alias("offer")), "b").groupBy("a").agg(F.min("offer").alias("offer"))
-        step = label.join(near, F.col("fp") == F.col("a")).select("fp", "component", F.least("component", "offer").alias("new"))
-        step = materialise(step, "step")
-        jump = owner.join(step.select(F.col("fp").alias("first_fp"), F.col("new").alias("beyond")), "first_fp").select("first", "beyond")
-        after = step.join(jump.hint("merge"), F.col("new") == F.col("first"), "left").select("fp", "component", F.least("new", F.coalesce("beyond", "new")).alias("after"))
-        after = materialise(after, "jump")
-        moved = after.where("after <> component").limit(1).count()
-        label = after.select("fp", F.col("after").alias("component"))
+        near = both.join(label.select(F.col("fp").alias("b"), F.col("least").alias("offer")), "b").groupBy("a").agg(F.min("offer").alias("offer"))
+        step = materialise(label.join(near, F.col("fp") == F.col("a")).select("fp", "least", F.least("least", "offer").alias("new")), "step")
+        jump = step.select(F.col("fp").alias("at"), F.col("new").alias("beyond"))
+        after = materialise(step.join(jump.hint("merge"), F.col("new") == F.col("at")).select("fp", "least", F.least("new", "beyond").alias("after")), "jump")
+        moved = after.where("after <> least").limit(1).count()
+        label = after.select("fp", F.col("after").alias("least"))
         if not moved:
             return label
 
 
-def simhash_components(docs: DataFrame, limit: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, fp and component (least doc_id reachable over links of at most limit bits, itself included) of each row."""
-    marked = materialise(fingerprints(docs), "fingerprints")
-    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("component")).where("component is not null"), "classes")
-    found = components(classes, fingerprint_links(classes, limit, blocks))
-    first = classes.join(found.withColumnRenamed("component", "reached"), "fp", "left").select("fp", F.coalesce("reached", "component").alias("component"))
-    return marked.join(first.hint("merge"), "fp", "left").select("doc_id", "fp", "component")
+def simhash_components(docs: DataFrame, limit: int = MOST_BITS, blocks: int = BLOCKS, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the carry columns, fp, component (least doc_id reachable over links of at most limit bits, itself included) and component_fp (the component's least fingerprint as a signed number) of each row."""
+    marked = materialise(fingerprints(docs, carry), "fingerprints")
+    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    linked = components(fingerprint_links(classes, limit, blocks))
+    reached = linked.join(classes, "fp").groupBy("least").agg(F.min("first").alias("reached"))
+    linked = materialise(linked.join(reached, "least"), "components")
+    of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("reached", "first").alias("component"), F.coalesce("least", "fp").alias("component_fp"))
+    return marked.join(of_class.hint("merge"), "fp").select("doc_id", *(carry or []), "fp", "component", "component_fp")

@@ -11,9 +11,9 @@ load therefore follows the number of blocks, not of copies. What goes beyond INL
 dealt by document, and is joined to the verdicts on those strings afterwards (a sort-merge join that Spark can split).
 
 Defined results: null or word-less text has no windows and 0 words; a null doc_id neither removes nor loses words;
-rows that share a doc_id count as one document, and words that a window of either covers go from both; texts of any
-length are worked on in pieces that overlap by WINDOW - 1 words. Columns of the input keep their names: the operator
-uses only doc_id and text and its own prefixed names.
+rows that share a doc_id don't remove from each other, and each loses only words that its own windows cover (rows are told
+apart by a hash of their text); texts of any length are worked on in pieces that overlap by WINDOW - 1 words. doc_id is a whole
+number. Columns of the input keep their names: the operator uses only doc_id, text and the carry columns.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import SPACE, as_bytes, chunks, lean, materialise, mix, partitions, span_hash, word_bounds
+from veristrata.llm.common import SPACE, as_bytes, chunks, lean, materialise, mix, partitions, row_key, span_hash, word_bounds
 
 WINDOW = 13
 GRAM = 3
@@ -40,8 +40,8 @@ PACK = 4 << 20
 BUCKETS = 20
 
 _ROUTED = "bucket int, hot boolean, blob binary"
-_FOUND = "kind int, doc_id long, at int, until int, key binary, least long"
-_FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("until", pa.int32()), ("key", pa.binary()), ("least", pa.int64())])
+_FOUND = "kind int, doc_id long, text_key long, at int, until int, key binary, least long"
+_FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int32()), ("until", pa.int32()), ("key", pa.binary()), ("least", pa.int64())])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -95,6 +95,7 @@ class _Packer:
 
     def _clear(self) -> None:
         self.seen: dict[int, dict[bytes, list]] = {}
+        self.rows: list[tuple[int, int]] = []  # doc_id and key of the text
         self.size = 0
 
     def add(self, block: list, window: int, gram: int) -> None:
@@ -103,10 +104,11 @@ class _Packer:
         if made is None:
             return
         low, start, end, owner, position, flat = made
-        docs = np.array([x[0] for x in block], np.int64)[owner]
+        row = owner + len(self.rows)
+        self.rows += [x[0] for x in block]
         bucket = (mix(low) % np.uint64(self.buckets)).astype(np.int64)
         seen = self.seen
-        for b, x, y, doc, at in zip(bucket.tolist(), start.tolist(), end.tolist(), docs.tolist(), position.tolist()):
+        for b, x, y, doc, at in zip(bucket.tolist(), start.tolist(), end.tolist(), row.tolist(), position.tolist()):
             own = seen.get(b)
             if own is None:
                 own = seen[b] = {}
@@ -118,17 +120,21 @@ class _Packer:
 
     def pack(self) -> pa.RecordBatch:
         rows, extra = [], {}
+        ids = np.array([x[0] for x in self.rows], np.int64)
+        text_keys = np.array([x[1] for x in self.rows], np.int64)
+        id_list = ids.tolist()
         for bucket, own in self.seen.items():
             counts, lows, highs, docs, places = [], [], [], [], []
             for s, found in own.items():
                 if len(found) == 2:
-                    low = high = found[0]
+                    low = high = id_list[found[0]]
                 else:
-                    low, high = min(found[::2]), max(found[::2])
+                    held = [id_list[x] for x in found[::2]]
+                    low, high = min(held), max(held)
                 if len(found) > 2 * INLINE:
                     key, size = hashlib.blake2b(s, digest_size=16).digest(), s.count(b" ") + 1
                     for doc, at in zip(found[2 * INLINE :: 2], found[2 * INLINE + 1 :: 2]):
-                        extra.setdefault(doc % self.buckets, []).append((key, doc, at, size))
+                        extra.setdefault(id_list[doc] % self.buckets, []).append((key, id_list[doc], int(text_keys[doc]), at, size))
                     counts.append(-INLINE)
                     found = found[: 2 * INLINE]
                 else:
@@ -137,7 +143,7 @@ class _Packer:
                 highs.append(high)
                 docs += found[::2]
                 places += found[1::2]
-            blob = (b"\n".join(own), np.array(counts, np.int8), np.array(lows, np.int64), np.array(highs, np.int64), np.array(docs, np.int64), np.array(places, np.int32))
+            blob = (b"\n".join(own), np.array(counts, np.int8), np.array(lows, np.int64), np.array(highs, np.int64), ids[docs], text_keys[docs], np.array(places, np.int32))
             rows.append((bucket, False, self.press.compress(pickle.dumps(blob, 5))))
         rows += [(self.buckets + k, True, self.press.compress(pickle.dumps(found, 5))) for k, found in extra.items()]
         self._clear()
@@ -148,7 +154,7 @@ def _router(buckets: int, window: int, gram: int):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(buckets)
         for batch in batches:
-            for block in chunks(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), window - 1, BLOCK):
+            for block in chunks(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), (x.as_py() for x in batch.column(2)), window - 1, BLOCK):
                 packer.add(block, window, gram)
                 if packer.size >= PACK:
                     yield packer.pack()
@@ -213,14 +219,15 @@ def _bucket(window: int):
         blobs = [pickle.loads(unpack.decompress(x)) for x in table.column("blob").to_pylist()]
         if table.column("hot")[0].as_py():
             rows = [r for blob in blobs for r in blob]
-            return _found([(2, [r[1] for r in rows], [r[2] for r in rows], [r[2] + r[3] for r in rows], [r[0] for r in rows], [None] * len(rows))])
+            return _found([(2, [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[3] + r[4] for r in rows], [r[0] for r in rows], [None] * len(rows))])
         index: dict[bytes, int] = {}
-        who, lows, docs, positions = [], [], [], []
-        for joined, counts, low, high, doc, position in blobs:
+        who, lows, docs, texts, positions = [], [], [], [], []
+        for joined, counts, low, high, doc, text, position in blobs:
             at = np.array([index.setdefault(s, len(index)) for s in joined.split(b"\n")], np.int64)
             who.append(np.repeat(at, np.abs(counts)))
             lows.append((at, low, high, counts < 0))
             docs.append(doc)
+            texts.append(text)
             positions.append(position)
         least_of = np.full(len(index), np.iinfo(np.int64).max)
         most_of = np.full(len(index), np.iinfo(np.int64).min)
@@ -233,15 +240,15 @@ def _bucket(window: int):
         least, offset, sizes = window_minima(strings, least_of, window)
         low_of = np.minimum.reduceat(least, offset)
         high_of = np.maximum.reduceat(least, offset)
-        who, docs, positions = np.concatenate(who), np.concatenate(docs), np.concatenate(positions).astype(np.int64)
+        who, docs, texts, positions = np.concatenate(who), np.concatenate(docs), np.concatenate(texts), np.concatenate(positions).astype(np.int64)
         whole = docs > high_of[who]
-        parts = [(0, docs[whole], positions[whole], positions[whole] + sizes[who[whole]], None, None)]
+        parts = [(0, docs[whole], texts[whole], positions[whole], positions[whole] + sizes[who[whole]], None, None)]
         part = np.flatnonzero(~whole & (docs > low_of[who]))
-        got: tuple[list, list, list] = ([], [], [])
+        got: tuple[list, list, list, list] = ([], [], [], [])
         for k in part.tolist():
             e = who[k]
             for i, j in _runs(least[offset[e] : offset[e] + sizes[e] - window + 1] < docs[k]):
-                for column, value in zip(got, (int(docs[k]), int(positions[k]) + i, int(positions[k]) + j + window - 1)):
+                for column, value in zip(got, (int(docs[k]), int(texts[k]), int(positions[k]) + i, int(positions[k]) + j + window - 1)):
                     column.append(value)
         parts.append((0, *got, None, None))
         verdicts: tuple[list, list, list, list] = ([], [], [], [])
@@ -252,7 +259,7 @@ def _bucket(window: int):
             for i, j in zip(cuts, cuts[1:]):
                 for column, value in zip(verdicts, (i, j + window - 1, key, int(own[i]))):
                     column.append(value)
-        parts.append((1, [None] * len(verdicts[0]), verdicts[0], verdicts[1], verdicts[2], verdicts[3]))
+        parts.append((1, [None] * len(verdicts[0]), [None] * len(verdicts[0]), verdicts[0], verdicts[1], verdicts[2], verdicts[3]))
         return _found(parts)
 
     return judge
@@ -260,24 +267,24 @@ def _bucket(window: int):
 
 def _found(parts: list) -> pa.Table:
     tables = []
-    for kind, doc, at, until, key, least in parts:
+    for kind, doc, text, at, until, key, least in parts:
         n = len(at)
-        columns = [pa.array(np.full(n, kind, np.int32)), pa.array(doc, pa.int64()), pa.array(at).cast(pa.int32()) if n else pa.array([], pa.int32()), pa.array(until).cast(pa.int32()) if n else pa.array([], pa.int32()), pa.array(key, pa.binary()) if key is not None else pa.nulls(n, pa.binary()), pa.array(least, pa.int64()) if least is not None else pa.nulls(n, pa.int64())]
+        columns = [pa.array(np.full(n, kind, np.int32)), pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(at).cast(pa.int32()) if n else pa.array([], pa.int32()), pa.array(until).cast(pa.int32()) if n else pa.array([], pa.int32()), pa.array(key, pa.binary()) if key is not None else pa.nulls(n, pa.binary()), pa.array(least, pa.int64()) if least is not None else pa.nulls(n, pa.int64())]
         tables.append(pa.Table.from_arrays(columns, schema=_FOUND_ARROW))
     return pa.concat_tables(tables)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): word ranges [at, until) covered by a window that also starts in a document with a smaller doc_id."""
+    """(doc_id, text_key, spans): word ranges [at, until) of the rows with that hash of their text, covered by a window that also starts in a document with a smaller doc_id."""
     spark = docs.sparkSession
     buckets = max(64, BUCKETS * partitions(spark))
-    routed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), as_bytes("text")).mapInArrow(lean(_router(buckets, window, gram)), _ROUTED)
+    routed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), row_key("text").alias("text_key"), as_bytes("text")).mapInArrow(lean(_router(buckets, window, gram)), _ROUTED)
     found = materialise(routed.groupBy("bucket").applyInArrow(_bucket(window), _FOUND), "spans")
-    late = found.where("kind = 2").select("doc_id", "key", F.col("at").alias("base"))
+    late = found.where("kind = 2").select("doc_id", "text_key", "key", F.col("at").alias("base"))
     verdict = found.where("kind = 1").select("key", "at", "until", "least")
-    late = late.join(verdict.hint("merge"), "key").where("least < doc_id").select("doc_id", (F.col("base") + F.col("at")).alias("at"), (F.col("base") + F.col("until")).alias("until"))
-    spans = found.where("kind = 0").select("doc_id", "at", "until").unionByName(late)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "until")).alias("spans"))
+    late = late.join(verdict.hint("merge"), "key").where("least < doc_id").select("doc_id", "text_key", (F.col("base") + F.col("at")).alias("at"), (F.col("base") + F.col("until")).alias("until"))
+    spans = found.where("kind = 0").select("doc_id", "text_key", "at", "until").unionByName(late)
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "until")).alias("spans"))
 
 
 def _stripper(tidy: bool):
@@ -305,7 +312,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, car
     carry = carry or []
     spans = repeated_spans(docs, window, gram)
     row = F.struct(F.col("doc_id"), *[F.col(c) for c in carry])
-    joined = docs.select("doc_id", row.alias("row"), as_bytes("text").alias("text")).join(spans, "doc_id", "left").select("row", "text", "spans")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("text_key"), row.alias("row"), as_bytes("text").alias("text"))
+    joined = marked.join(spans, ["doc_id", "text_key"], "left").select("row", "text", "spans")
     kind = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(lean(_stripper(tidy)), f"row {kind}, n_words long, n_removed long, kept_text string")
     return out.select("row.*", "n_words", "n_removed", "kept_text")

@@ -24,6 +24,8 @@ from veristrata.llm.common import lean
 from veristrata.llm.trie import MARK, NORMAL, USER_DEFINED, DoubleArray, Encoded, Vocabulary, by_size, matrix, read_vocabulary, text_slices
 
 _NOWHERE = -1
+#: Words of more bytes are walked alone.
+LONG_WORD = 1 << 12
 
 
 class LongestMatch:
@@ -31,6 +33,7 @@ class LongestMatch:
         self.trie = trie = DoubleArray({p.encode(): i for i, (p, kind) in enumerate(zip(vocabulary.pieces, vocabulary.kinds)) if kind in (NORMAL, USER_DEFINED)})
         self.fail = np.full(len(trie.base), _NOWHERE, np.int64)
         self.pops = np.zeros(len(trie.base), np.int64)
+        self.lists = None
         places = np.flatnonzero(trie.used)
         for depth in range(1, int(trie.depth.max()) + 1):
             states = places[trie.depth[places] == depth]
@@ -60,6 +63,9 @@ class LongestMatch:
         out = np.zeros(len(words), np.int32)
         marked = pc.binary_join_element_wise(pa.scalar(MARK.encode(), pa.binary()), words, pa.scalar(b"", pa.binary()))
         for places, part, width in by_size(marked):
+            if width > LONG_WORD:
+                out[places] = [self._walk(word) for word in part.to_pylist()]
+                continue
             text, sizes = matrix(part, width)
             at, pops = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
             for i in range(width):
@@ -71,6 +77,27 @@ class LongestMatch:
             out[places] = np.where(at == _NOWHERE, -1, pops)
         return np.ones(len(words), np.int64), out
 
+    def _walk(self, word: bytes) -> int:
+        """The same for one word of any length, in constant memory."""
+        if self.lists is None:
+            self.lists = [x.tolist() for x in (self.trie.base, self.trie.check, self.fail, self.pops)]
+        base, check, fail, pops = self.lists
+        at = total = 0
+        for byte in word:
+            while True:
+                to = base[at] + byte
+                if base[at] > 0 and to < len(check) and check[to] == at:
+                    at = to
+                    break
+                total += pops[at]
+                at = fail[at]
+                if at == _NOWHERE:
+                    return -1
+        while at > 0:
+            total += pops[at]
+            at = fail[at]
+        return -1 if at == _NOWHERE else total
+
 
 def _counter(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
