@@ -361,3 +361,68 @@ def test_pair_rules(spark):
     known = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0)], "page string, sent int")
     assert tuple(B.smallest_gold(gold, known).first()) == (1, 1, 1)
     assert B.repeat_rows(spark.createDataFrame([("a",)], "id string"), 3).orderBy("id").collect()[2].id == "a#2"
+
+
+def test_speaker_context_with_overlaps(spark):
+    """Two ended segments behind ten that still run, equal ends, segments without length, and interim ones: against a plain search."""
+    from veristrata.operators.transcripts import speaker_context
+
+    rng = random.Random(3)
+    rows = [(1, f"a{i:02}", "x", float(i), t, True) for i, t in enumerate([2.0, 3.0, *[99.0] * 10])] + [(1, "q", "x", 20.0, 21.0, True)]
+    rows += [(2, f"{i:03}", rng.choice(["x", "y", None]), s := float(rng.randint(0, 30)), s + rng.choice([0, 0, 1, 5, 20]), rng.random() < 0.8) for i in range(120)]
+    frame = spark.createDataFrame(rows, "session long, id string, speaker string, start double, end double, final boolean")
+    got = {(r.session, r.id): list(r.preceding) for r in speaker_context(frame).collect()}
+    assert len(got) == len(rows) and got[1, "q"] == ["a00", "a01"]
+    for session, name, speaker, start, _, _ in rows:
+        fit = sorted((e, s, i) for z, i, p, s, e, final in rows if z == session and p == speaker and final and i != name and e <= start and s < start)
+        assert got[session, name] == [i for _, _, i in fit[-2:]], name
+
+
+def test_composed_text(spark):
+    """Composed and decomposed spellings are one term; only texts that need it go to Python."""
+    import unicodedata
+
+    from veristrata.functions import text as T
+
+    texts = ["caf\u00e9 \u212bngstr\u00f6m", "cafe\u0301 A\u030angstro\u0308m", "\u1112\u1161\u11ab", "\u304b\u3099", "plain", None, "", "\u65e5\u672c \u2019"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.nfc(F.col("text")).alias("n"), T.tokens(F.col("text")).alias("t"), F.col("text").rlike(T.COMPOSABLE).alias("sent"))
+    rows = frame.collect()
+    assert [r.n for r in rows] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert rows[0].t == rows[1].t and [r.sent for r in rows[4:]] == [False, None, False, False]
+
+
+def test_numbering(spark):
+    from veristrata.operators.numbering import numbered, unit_bucket
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([0.5, rng.random()]), rng.randint(0, 5)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, g string, v double, w long")
+    got = {r.id: (r.pos, r.n, r.running) for r in numbered(frame, unit_bucket("v"), ["v", "id"], ["g"], "w").collect()}
+    for group in ("a", "b", None):
+        own = sorted((v, i, w) for i, g, v, w in rows if g == group)
+        for k, (_, i, _) in enumerate(own):
+            assert got[i] == (k + 1, len(own), sum(w for _, _, w in own[: k + 1]))
+    whole = numbered(frame.select("id", "v"), unit_bucket("v"), ["v", "id"]).orderBy("pos").collect()
+    assert [r.id for r in whole] == [i for _, i in sorted((v, i) for i, _, v, _ in rows)]
+
+
+def test_gold_holds_whole_items(spark):
+    from veristrata.sources.tables import gold
+
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"x {item} y"), (2, item.replace(" ", "\n ")), (3, f"x{item} y"), (4, item[:30]), (5, f"{item} and again {item}"), (6, None), (7, "two  words")]
+    items = [(10, item), (11, "two words"), (12, ""), (13, None), (14, "words two"), (15, f"{item} z")]
+    found = gold(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == [(10, 1), (10, 2), (10, 5), (11, 7)]
+
+
+def test_stored_index(spark, tmp_path):
+    """The stored index gives the documents' own scores; its scan for a term reads a part of the files."""
+    from veristrata.operators import retrieval as R
+
+    docs = spark.createDataFrame([(i, f"term{i % 7} common word{i}") for i in range(60)] + [(90, ""), (91, None)], "doc_id long, text string").where("text is not null")
+    queries = spark.createDataFrame([(1, "term3 common common"), (2, "absent"), (3, "word5 term5")], "qid long, text string")
+    index = R.Index.build(docs, f"{tmp_path}/index")
+    own = {(r.qid, r.doc_id): round(r.score, 9) for r in R.bm25(queries, docs).collect()}
+    assert own and own == {(r.qid, r.doc_id): round(r.score, 9) for r in R.Index(spark, f"{tmp_path}/index").bm25(queries).collect()}
+    assert index.meta.first()["n_docs"] == 61

@@ -52,12 +52,28 @@ TOKEN = r"[\p{L}\p{N}_]+"
 CLAIM_WORD = r"[A-Za-z][A-Za-z'’-]*"
 
 
+#: Every character that composition can change, or that can change one before it, is in one of these ranges.
+COMPOSABLE = (
+    r"[\x{300}-\x{374}\x{37E}\x{387}\x{483}-\x{489}\x{591}-\x{1FFF}\x{2000}\x{2001}\x{20D0}-\x{20FF}\x{2126}-\x{212B}\x{2329}\x{232A}\x{2ADC}"
+    r"\x{2CEF}-\x{2CF1}\x{2D7F}\x{2DE0}-\x{2DFF}\x{302A}-\x{302F}\x{3099}\x{309A}\x{A66F}-\x{ABFF}\x{D7B0}-\x{FFFF}\x{10000}-\x{1FFFF}\x{2F800}-\x{2FFFF}]"
+)
+
+
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Composed form. Spark has no built-in for it."""
+def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Composed form. Spark has no built-in for it; only texts with a character that can change are sent to Python."""
+    return F.coalesce(_compose(F.when(text.rlike(COMPOSABLE), text)), text)
+
+
+def title_key(title: Column) -> Column:
+    """The exact key of a title: its composed form and nothing else."""
+    return nfc(title)
+
+
 def words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -69,8 +85,8 @@ def unescape(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Retrieval terms of composed text: lower case, underscores split, bracket escapes dropped."""
-    found = F.regexp_extract_all(F.lower(F.replace(unescape(text), F.lit("_"), F.lit(" "))), F.lit(TOKEN), F.lit(0))
+    """Retrieval terms: composed, lower case, underscores split, bracket escapes dropped."""
+    found = F.regexp_extract_all(F.lower(F.replace(unescape(nfc(text)), F.lit("_"), F.lit(" "))), F.lit(TOKEN), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(ESCAPE_TOKENS))
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veristrata.operators.numbering import numbered, unit_bucket
+from veristrata.operators.splits import tile
+
 BINS = 15
 RISKS = (0.05, 0.10, 0.15, 0.20)
 COVERAGES = (0.5, 0.7, 0.9)
@@ -70,7 +73,8 @@ def reliability(scored: DataFrame, bins: int = BINS) -> DataFrame:
 
 def reliability_by_mass(scored: DataFrame, bins: int = BINS) -> DataFrame:
     """Bins of equal numbers of rows; the first n mod bins have one more."""
-    return _binned(scored.withColumn("bin", F.ntile(bins).over(Window.orderBy("confidence", "id")) - 1), F.col("bin"), bins)
+    placed = numbered(scored.select("id", "confidence", "correct"), unit_bucket("confidence"), ["confidence", "id"])
+    return _binned(placed, tile("pos", "n", bins), bins)
 
 
 def calibration_summary(scored: DataFrame, bins: int = BINS) -> DataFrame:
@@ -91,12 +95,19 @@ def risk_coverage(scored: DataFrame) -> DataFrame:
     return runs.select("confidence", F.sum("n").over(down).alias("answered"), F.sum("wrong").over(down).alias("errors")).crossJoin(F.broadcast(whole)).select("confidence", "answered", (F.col("answered") / F.col("total")).alias("coverage"), (F.col("errors") / F.col("answered")).alias("risk"))
 
 
+def _harmonic(n: str) -> Column:
+    """1 + 1/2 + ... + 1/n: summed up to 1,000, from there by its expansion, whose next term is below 1e-17."""
+    x = F.col(n).cast("double")
+    head = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col(n), F.lit(1000)), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i.cast("double"))
+    return F.when(F.col(n) <= 0, 0.0).when(F.col(n) <= 1000, head).otherwise(F.log(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
+
+
 def aurc_summary(scored: DataFrame) -> DataFrame:
     curve = risk_coverage(scored)
     width = F.col("coverage") - F.coalesce(F.lag("coverage").over(Window.orderBy("answered")), F.lit(0.0))
     area = curve.select((F.col("risk") * width).alias("part")).agg(F.sum("part").alias("aurc"))
     counts = scored.agg(F.count("*").alias("n"), F.count_if("correct").alias("hits"))
-    best = counts.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "hits").agg(F.avg(F.greatest(F.lit(0), F.col("k") - F.col("hits")) / F.col("k")).alias("optimal"))
+    best = counts.select(((F.col("n") - F.col("hits") - F.col("hits") * (_harmonic("n") - _harmonic("hits"))) / F.col("n")).alias("optimal"))
     return area.crossJoin(best).select(r6("aurc").alias("aurc"), r6("optimal").alias("optimal_aurc"), r6(F.col("aurc") - F.col("optimal")).alias("excess_aurc"))
 
 

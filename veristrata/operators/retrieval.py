@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veristrata.functions import text as T
+from veristrata.sources.tables import is_small, small
 
 K1, B = 1.2, 0.75
 MOST_TF = 255
@@ -43,21 +44,94 @@ def idf(df, n_docs):
     return F.when(df > 0, F.log1p((n_docs - df + 0.5) / (df + 0.5))).otherwise(0.0)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc_id, score) of every document that shares a term with a query (qid, text).
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term, qtf) of queries (qid, text)."""
+    return token_rows(queries, "qid").withColumnRenamed("doc_id", "qid").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def corpus_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf) of the given terms (term), and a row with tf 0 for each document.
 
-    Only postings of query terms are aggregated; each query term counts as often as the query has it. The query side
-    is aggregated first; the corpus is tokenised twice (lengths, postings), each time with map-side aggregation.
+    The corpus is tokenised once and only asked terms are moved, dealt by document. Everything that is derived from this (counts,
+    lengths, frequencies, scores) reads the same exchange; filters on tf can't slip below it and make it another.
     """
-    asked = token_rows(queries, "qid").withColumnRenamed("doc_id", "qid").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    entries = token_rows(docs).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = document_lengths(docs)
-    whole = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    frequency = entries.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(frequency, "term").crossJoin(F.broadcast(whole)).select("qid", "term", "avgdl", (F.col("qtf") * idf(F.col("df"), F.col("n_docs"))).alias("weight"))
+    held = docs.select("doc_id", T.tokens(F.col("text")).alias("t"))
+    rows = held.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    marked = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    kept = rows.join(small(marked.distinct()), "term", "left_semi")
+    return kept.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count_if(F.col("term") != "").alias("tf"))
+
+
+def weights(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(qid, term, avgdl, weight): idf of each asked term times its count in the query."""
+    whole = rows.where("tf = 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    frequency = rows.where("tf > 0").groupBy("term").agg(F.count("*").alias("df"))
+    return asked.join(frequency, "term").crossJoin(F.broadcast(whole)).select("qid", "term", "avgdl", (F.col("qtf") * idf(F.col("df"), F.col("n_docs"))).alias("weight"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc_id, score) of every document that shares a term with a query (qid, text); each query term counts as often as the query has it."""
+    asked = asked_terms(queries)
+    return score(asked, corpus_rows(docs, asked.select("term").distinct()), k1, b)
+
+
+def score(asked: DataFrame, rows: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc_id, score) from corpus rows. Rows lie by document, so scores are summed where they are."""
+    weighted = weights(asked, rows)
+    if is_small(asked):  # weighted has a row of fixed size for each of its rows at most
+        weighted = F.broadcast(weighted)
     tf = F.least("tf", F.lit(MOST_TF))
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return entries.join(weighted, "term").join(lengths, "doc_id").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+    return rows.where("tf > 0").join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+
+
+class Index:
+    """A stored index: postings (term, doc_id, tf, dl) sorted by term, terms (term, df) and one row of counts, each a Parquet folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.postings, self.terms, self.meta = (spark.read.parquet(f"{folder}/{x}") for x in ("postings", "terms", "meta"))
+
+    @classmethod
+    def build(cls, docs: DataFrame, folder: str) -> Index:
+        """Writes the index. Postings are range-partitioned by term, so a scan for a few terms skips files and row groups; the token sum of the postings must equal that of the documents."""
+        spark = docs.sparkSession
+        held = docs.select("doc_id", T.tokens(F.col("text")).alias("t"))
+        rows = held.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").select("term", "doc_id", "tf", "dl").write.mode("overwrite").parquet(f"{folder}/postings")
+        posted = spark.read.parquet(f"{folder}/postings")
+        posted.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        lengths = held.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum(F.size("t")), F.lit(0)).cast("long").alias("n_tokens"))
+        counted = posted.agg(F.count("*").alias("n_postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_posted"))
+        lengths.crossJoin(counted).coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+        index = cls(spark, folder)
+        found = index.meta.first()
+        if found["n_tokens"] != found["n_posted"]:
+            raise ValueError(f"{found['n_tokens']} tokens were read and {found['n_posted']} posted: the documents changed between the passes")
+        return index
+
+    def bm25(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+        """(qid, doc_id, score), as from the documents themselves."""
+        asked = asked_terms(queries)
+        wanted = small(asked.select("term").distinct())
+        weighted = asked.join(self.terms.join(wanted, "term", "left_semi"), "term").crossJoin(F.broadcast(self.meta.select("n_docs", "avgdl"))).select("qid", "term", "avgdl", (F.col("qtf") * idf(F.col("df"), F.col("n_docs"))).alias("weight"))
+        tf = F.least("tf", F.lit(MOST_TF))
+        part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        return self.postings.join(F.broadcast(weighted) if is_small(asked) else weighted, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+
+
+def search(queries: DataFrame, docs: DataFrame, titles: DataFrame, sentences: DataFrame, pages: int = 25, k: int = 25, most_titles: int = MOST_TITLES, scored: DataFrame | None = None) -> DataFrame:
+    """Both stages: pages by BM25 (scored, or over docs) behind the injected titles, then their best sentences (qid, doc_id, idx, rank, score)."""
+    ranked = top(bm25(queries, docs) if scored is None else scored, pages)
+    merged = merge_ranked(title_candidates(queries, titles), ranked, pages, most_titles) if most_titles else ranked.select("qid", "doc_id", "rank")
+    return score_sentences(queries, merged, sentences, docs, k)
+
+
+def with_text(found: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Found sentences with their text; one that isn't there raises."""
+    joined = found.join(sentences.select("doc_id", "idx", F.col("sentence").alias("text")), ["doc_id", "idx"], "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no sentence"), F.col("doc_id").cast("string"), F.col("idx").cast("string")))
+    return joined.withColumn("text", F.when(F.col("text").isNull(), missing.cast("string")).otherwise(F.col("text")))
 
 
 def top(scored: DataFrame, k: int, by: str = "qid", order: list | None = None) -> DataFrame:
@@ -88,14 +162,20 @@ def merge_ranked(injected: DataFrame, ranked: DataFrame, n: int, most_titles: in
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at.src", "at.pos")).cast("long")).where(F.col("rank") <= n).select("qid", "doc_id", "rank")
 
 
+def readable_title(title: Column) -> Column:
+    """A stored title as words: escapes decoded, underscores as spaces."""
+    return F.trim(F.replace(T.unescape(title), F.lit("_"), F.lit(" ")))
+
+
 def score_sentences(queries: DataFrame, pages: DataFrame, sentences: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The k best sentences of each query's pages (qid, doc_id, rank), by corpus idf and the mean sentence length; ties by page rank and place."""
-    asked = token_rows(queries, "qid").withColumnRenamed("doc_id", "qid").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    frequency = token_rows(docs).join(asked.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    n_docs = docs.agg(F.count("*").alias("n_docs"))
-    cut = sentences.select("doc_id", "idx", T.tokens(F.col("sentence")).alias("t"))
+    """The k best sentences of each query's pages (qid, doc_id, rank), by corpus idf and the mean sentence length; ties by page rank and place. With a title column, a sentence is scored behind its page's readable title."""
+    asked = asked_terms(queries)
+    rows = corpus_rows(docs, asked.select("term").distinct())
+    prefix = F.concat_ws(" ", readable_title(F.col("title")), "sentence") if "title" in sentences.columns else F.col("sentence")
+    cut = sentences.select("doc_id", "idx", T.tokens(prefix).alias("t"))
     mean = cut.agg(F.avg(F.size("t")).alias("avgdl"))
-    weighted = asked.join(frequency, "term").crossJoin(F.broadcast(n_docs)).crossJoin(F.broadcast(mean)).select("qid", "term", "avgdl", (F.col("qtf") * idf(F.col("df"), F.col("n_docs"))).alias("weight"))
+    weighted = weights(asked, rows).drop("avgdl").crossJoin(F.broadcast(mean))
+    weighted = F.broadcast(weighted) if is_small(asked) else weighted
     found = cut.join(pages.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "idx", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "idx", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = found.join(weighted, "term").join(pages.withColumnRenamed("rank", "page_rank"), ["qid", "doc_id"]).groupBy("qid", "doc_id", "idx", "page_rank").agg(F.sum(part).alias("score"))

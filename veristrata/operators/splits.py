@@ -1,14 +1,16 @@
 """Leakage-free splits by hash rank, and the checks on them.
 
 A key's rank is the SHA-1 of salt:key, so it depends on neither row order nor partitions. Cuts are rounded half to even.
-Ranks inside a label are exact positions; one label's keys are numbered by a window, whose rows are only (label, key, hash).
+Ranks inside a label are exact positions: keys are numbered inside (label, hash prefix) and shifted by what lies before the prefix.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.operators.numbering import hash_bucket, numbered
+
 CALIBRATION_SALT = "fever-calibration-v1"
 HOLDOUT_SALT = "fever-trainval-v1"
 THREE_WAY_SALT = "averitec-splits-v1"
@@ -24,8 +26,7 @@ def hash_rank(salt: str, key: Column) -> Column:
 def ranked_keys(rows: DataFrame, salt: str) -> DataFrame:
     """(key, label, n, pos) of distinct keys; a key of two labels belongs to the first label in order."""
     keys = rows.groupBy("key").agg(F.min("label").alias("label")).withColumn("h", hash_rank(salt, F.col("key")))
-    own = Window.partitionBy("label")
-    return keys.select("key", "label", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("h", "key")).alias("pos"))
+    return numbered(keys, hash_bucket("h"), ["h", "key"], ["label"]).select("key", "label", "n", "pos")
 
 
 def stratified_split(rows: DataFrame, fractions: dict[str, float], rest: str, salt: str) -> DataFrame:
@@ -49,15 +50,13 @@ def holdout(rows: DataFrame, per_label: int, salt: str = HOLDOUT_SALT) -> DataFr
 def group_split(groups: DataFrame, test: int, calibration: int, salt: str = GROUP_SALT) -> DataFrame:
     """(name, split) of distinct group names in SHA-256 order: first test, then calibration, the rest train."""
     h = F.sha2(F.concat(F.lit(salt + ":"), F.col("name")).cast("binary"), 256)
-    pos = F.row_number().over(Window.orderBy("h", "name"))
-    return groups.select("name").distinct().withColumn("h", h).withColumn("pos", pos).select("name", F.when(F.col("pos") <= test, "test").when(F.col("pos") <= test + calibration, "calibration").otherwise("train").alias("split"))
+    return numbered(groups.select("name").distinct().withColumn("h", h), hash_bucket("h"), ["h", "name"]).select("name", F.when(F.col("pos") <= test, "test").when(F.col("pos") <= test + calibration, "calibration").otherwise("train").alias("split"))
 
 
 def budget_prefix(groups: DataFrame, limit: int, salt: str) -> DataFrame:
     """(key, n, running) of the longest run of groups in hash order whose rows stay within limit; it ends at the first group that would not fit."""
-    ordered = Window.orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
-    running = groups.withColumn("h", hash_rank(salt, F.col("key"))).withColumn("running", F.sum("n").over(ordered))
-    return running.where(F.col("running") <= limit).select("key", "n", "running")
+    hashed = groups.select("key", F.col("n").alias("rows"), hash_rank(salt, F.col("key")).alias("h"))
+    return numbered(hashed, hash_bucket("h"), ["h", "key"], weight="rows").where(F.col("running") <= limit).select("key", F.col("rows").alias("n"), "running")
 
 
 def drop_leaked(train: DataFrame, *held_out: DataFrame) -> DataFrame:
@@ -81,7 +80,15 @@ def split_summary(rows: DataFrame) -> DataFrame:
 
 def folds(rows: DataFrame, k: int, seed: int) -> DataFrame:
     """rows with fold 0..k-1: positions by hash, parts of equal size but for the first n mod k. By hash, since a generator's stream has no distributed form."""
-    return rows.withColumn("fold", F.ntile(k).over(Window.orderBy(hash_rank(str(seed), F.col("id")), "id")) - 1)
+    placed = numbered(rows.withColumn("_h", hash_rank(str(seed), F.col("id"))), hash_bucket("_h"), ["_h", "id"])
+    return placed.withColumn("fold", tile("pos", "n", k)).drop("_h", "pos", "n")
+
+
+def tile(pos: str, n: str, k: int) -> Column:
+    """The part 0..k-1 of a place among n: parts of equal size, the first n mod k of them one longer."""
+    size, longer = F.floor(F.col(n) / k), F.col(n) % k
+    at, edge = F.col(pos) - 1, (size + 1) * longer
+    return F.when(at < edge, F.floor(at / (size + 1))).otherwise(longer + F.floor((at - edge) / F.greatest(size, F.lit(1)))).cast("int")
 
 
 def systematic(rows: DataFrame, every: int, position: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +29,26 @@ def revision_conflicts(updates: DataFrame) -> DataFrame:
 
 
 def speaker_context(segments: DataFrame, size: int = CONTEXT) -> DataFrame:
-    """segments (session, id, speaker, start, end, final) with preceding: up to size final segments of the speaker that ended by the start.
+    """segments (session, id, speaker, start, end, final) with preceding: up to size final segments of the speaker that had begun before it and ended by its start, however many others overlap.
 
-    Candidates come from the speaker's own ordered run, so no claim meets all segments; a running list keeps the last few.
+    Final segments are numbered in the order (end, start, id) of their speaker. Merged with the starts into one timeline, a running
+    count tells how many had ended, so the last of them are joined by number.
     """
-    own = Window.partitionBy("session", "speaker").orderBy("start", "id").rowsBetween(-(4 * size), -1)
-    held = F.collect_list(F.when(F.col("final"), F.struct("end", "start", "id"))).over(own)
-    fit = F.filter(held, lambda s: (s["end"] <= F.col("start")) & (s["start"] < F.col("start")))
-    last = F.slice(F.sort_array(fit, asc=False), 1, size)
-    return segments.withColumn("preceding", F.transform(F.reverse(last), lambda s: s["id"]))
+    keys = ["session", "speaker"]
+    begun = F.when(F.col("start") < F.col("end"), 0).otherwise(2)  # a segment without length ends after what starts with it
+    ends = segments.where("final").select(*keys, F.col("end").alias("t"), begun.alias("kind"), F.col("start").alias("s"), "id")
+    starts = segments.select(*keys, F.col("start").alias("t"), F.lit(1).alias("kind"), F.col("start").alias("s"), "id").distinct()
+    line = Window.partitionBy(*keys).orderBy("t", "kind", "s", "id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ends.unionByName(starts).withColumn("place", F.sum(F.when(F.col("kind") == 1, 0).otherwise(1)).over(line))
+    numbers = placed.where("kind <> 1").select(*keys, "place", F.col("id").alias("held"))
+    asked = placed.where("kind = 1 and place > 0").select(*keys, F.col("s").alias("start"), "id", F.explode(F.sequence(F.greatest(F.col("place") - (size - 1), F.lit(1)), "place")).alias("place"))
+    asked, numbers, held = (frame.toDF(*[f"{p}_{c}" for c in frame.columns]) for p, frame in (("a", asked), ("n", numbers), ("s", segments)))
+    same = functools.reduce(operator.and_, [F.col(f"a_{c}").eqNullSafe(F.col(f"n_{c}")) for c in (*keys, "place")])
+    groups = [f"a_{c}" for c in (*keys, "start", "id")]
+    found = asked.join(numbers, same).groupBy(*groups).agg(F.transform(F.sort_array(F.collect_list(F.struct("a_place", "n_held"))), lambda x: x["n_held"]).alias("preceding"))
+    on = functools.reduce(operator.and_, [F.col(f"s_{c}").eqNullSafe(F.col(f"a_{c}")) for c in (*keys, "start", "id")])
+    none = F.array().cast(found.schema["preceding"].dataType)
+    return held.join(found, on, "left").select(*[F.col(f"s_{c}").alias(c) for c in segments.columns], F.coalesce("preceding", none).alias("preceding"))
 
 
 def click_window(clicks: DataFrame, cues: DataFrame, seconds: int = CLICK_SECONDS) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veristrata.functions import pages as P
@@ -10,7 +12,7 @@ from veristrata.functions import text as T
 from veristrata.operators import metrics as M
 from veristrata.operators import retrieval as R
 from veristrata.plans import sql as S
-from veristrata.sources.tables import gold, read, sentences
+from veristrata.sources.tables import gold, read, sentences, shared_folder, small
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +72,19 @@ def sentence_top25(spark, d):
     return R.score_sentences(_items(spark, d), _ranked(spark, d).select("qid", "doc_id", "rank"), sentences(docs), docs, 25)
 
 
+def two_stage(spark, d):
+    """Titles and BM25 pages, then their best sentences with text."""
+    docs = _docs(spark, d)
+    cut = sentences(docs)
+    return R.with_text(R.search(_items(spark, d), docs, _titles(spark, d), cut, 10, 25), cut)
+
+
+def stored_index_top10(spark, d):
+    """The ranking of i02, read from an index that is written first."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    return R.top(R.Index.build(_docs(spark, d), folder).bm25(_items(spark, d)), 10).select("qid", "doc_id", "rank", "score")
+
+
 def retrieval_features(spark, d):
     out = R.retrieval_features(_ranked(spark, d), 10)
     return out.select("qid", *[M.r6(c).alias(c) if t == "double" else c for c, t in out.dtypes if c != "qid"])
@@ -114,19 +129,22 @@ def key_groups(spark, d):
 
 
 def reprint_overlap(spark, d):
-    """Documents that share a ten-word run with an item, or most of their triples: grams meet by equality."""
+    """Documents that share a ten-word run with an item, or most of their triples. Words are found once; grams are told by 64-bit hashes and meet by equality."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+(?:'[a-z0-9]+)*"), F.lit(0))
-    items = read(spark, d, "benchmark").select(words.alias("w"))
-    docs = _docs(spark, d).select("doc_id", words.alias("w"))
 
-    def own(rows: DataFrame, size: int, *keys: str) -> DataFrame:
-        return rows.select(*keys, F.explode(F.array_distinct(T.grams(F.col("w"), size))).alias("g"))
+    def hashed(size: int) -> Column:
+        parts = ", ".join(f"w[i + {j}]" for j in range(size))
+        return F.expr(f"case when size(w) < {size} then array() else array_distinct(transform(sequence(0, size(w) - {size}), i -> xxhash64({parts}))) end")
 
-    run = own(docs, 10, "doc_id").join(own(items, 10).distinct(), "g", "left_semi").select("doc_id").distinct().withColumn("run", F.lit(True))
-    shared = own(docs, 3, "doc_id").join(own(items, 3).distinct(), "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    sizes = docs.select("doc_id", F.size(F.array_distinct(T.grams(F.col("w"), 3))).cast("long").alias("triples"))
-    out = sizes.join(run, "doc_id", "left").join(shared, "doc_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    match = F.when(F.col("run"), "run").when((F.col("shared") >= 5) & (F.col("shared") / F.col("triples") >= 0.6), "near")
+    def grams(rows: DataFrame, *keys: str) -> DataFrame:
+        held = rows.select(*keys, hashed(3).alias("triple"), hashed(10).alias("run"))
+        both = F.concat(F.transform("triple", lambda h: F.struct(F.lit(3).alias("size"), h.alias("h"))), F.transform("run", lambda h: F.struct(F.lit(10).alias("size"), h.alias("h"))))
+        return held.select(*keys, F.size("triple").cast("long").alias("triples"), F.explode_outer(both).alias("g")).select(*keys, "triples", "g.*")
+
+    items = grams(read(spark, d, "benchmark").select(words.alias("w"))).where("h is not null").select("size", "h").distinct().withColumn("hit", F.lit(1))
+    met = grams(_docs(spark, d).select("doc_id", words.alias("w")), "doc_id").join(small(items), ["size", "h"], "left")
+    out = met.groupBy("doc_id", "triples").agg(F.count_if((F.col("hit") == 1) & (F.col("size") == 3)).alias("shared"), F.max(F.when(F.col("size") == 10, F.col("hit"))).alias("run"))
+    match = F.when(F.col("run") == 1, "run").when((F.col("shared") >= 5) & (F.col("shared") / F.col("triples") >= 0.6), "near")
     return out.select("doc_id", "triples", "shared", match.alias("match"))
 
 
@@ -194,6 +212,8 @@ QUERIES = {
     "c02_title_candidates": title_candidates,
     "c03_merged_pages": merged_pages,
     "e02_sentence_top25": sentence_top25,
+    "i06_two_stage_text": two_stage,
+    "i04_stored_index_top10": stored_index_top10,
     "i09_retrieval_features": retrieval_features,
     "l01_recall_curve": recall_curve,
     "l04_ndcg": ndcg,
@@ -259,6 +279,18 @@ SELECT term, round(ln((n_docs + 1) / (df + 1)), 6) AS specificity FROM asked LEF
 both_ AS (SELECT qid, doc_id, 0 AS src, pos FROM cand WHERE pos <= 3 UNION ALL SELECT qid, doc_id, 1, rank FROM ranked WHERE rank <= 10),
 once AS (SELECT qid, doc_id, min(src * 1000000 + pos) AS place FROM both_ GROUP BY qid, doc_id)
 SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM once) WHERE rank <= 10""",
+    "i04_stored_index_top10": f"WITH {S.BM25} SELECT qid, doc_id, rank, score FROM ranked WHERE rank <= 10",
+    "i06_two_stage_text": f"""WITH {S.BM25}, {S.TITLES}, {S.SENTENCES},
+both_ AS (SELECT qid, doc_id, 0 AS src, pos FROM cand WHERE pos <= 3 UNION ALL SELECT qid, doc_id, 1, rank FROM ranked WHERE rank <= 10),
+once AS (SELECT qid, doc_id, min(src * 1000000 + pos) AS place FROM both_ GROUP BY qid, doc_id),
+pg AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM once) WHERE rank <= 10),
+st AS (SELECT doc_id, idx, sentence, {S.tokens('sentence')} AS t FROM sents),
+mean AS (SELECT avg(len(t)) AS savg FROM st),
+sp AS (SELECT doc_id, idx, len(t) AS sl, unnest(t) AS term FROM st),
+stf AS (SELECT doc_id, idx, sl, term, count(*) AS tf FROM sp GROUP BY ALL),
+ss AS (SELECT r.qid, r.doc_id, idx, r.rank AS page_rank, round(sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sl / savg))), 6) AS score
+       FROM pg r JOIN stf ON stf.doc_id = r.doc_id JOIN w ON w.qid = r.qid AND w.term = stf.term, mean GROUP BY ALL)
+SELECT b.* EXCLUDE (page_rank), sentence AS text FROM (SELECT qid, doc_id, idx, page_rank, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_rank, idx) AS rank FROM ss WHERE score > 0) b JOIN st USING (doc_id, idx) WHERE rank <= 25""",
     "e02_sentence_top25": f"""WITH {S.BM25}, {S.SENTENCES},
 st AS (SELECT doc_id, idx, {S.tokens('sentence')} AS t FROM sents),
 mean AS (SELECT avg(len(t)) AS savg FROM st),

@@ -54,7 +54,8 @@ hits AS (SELECT qid, doc_id, size, start, row_number() OVER (PARTITION BY qid, d
 cand AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY size DESC, start, doc_id) AS pos FROM hits WHERE n = 1)"""
 
 GOLD = """
-gold AS (SELECT item_id AS qid, doc_id FROM benchmark, documents WHERE contains(documents.text, substr(benchmark.text, 1, 60)))"""
+gi AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS item FROM benchmark), gd AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' ' AS doc FROM documents),
+gold AS (SELECT item_id AS qid, doc_id FROM gi, gd WHERE item <> '' AND contains(doc, ' ' || item || ' '))"""
 
 #: labelled rows with key and label
 LABELLED = f"""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (spark.checkpoint.dir); a folder of this machine only where all run in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        option = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = option.get() if option.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="veristrata-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, idx, sentence): a text cut after terminators that white space follows, and at line feeds."""
     cut = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n+")
@@ -22,7 +40,38 @@ def predictions(embeddings: DataFrame, classes: int = 10) -> DataFrame:
     return embeddings.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, classes), lambda x: x.cast("double") * 10).alias("logits"), F.col("label").cast("int").alias("label"))
 
 
-def gold(benchmark: DataFrame, docs: DataFrame, prefix: int = 60) -> DataFrame:
-    """(qid, doc_id) of documents that hold an item's beginning word for word."""
-    starts = benchmark.select(F.col("item_id").alias("qid"), F.substring("text", 1, prefix).alias("start"))
-    return docs.join(starts, F.contains("text", F.col("start"))).select("qid", "doc_id")
+#: Bytes of rows that may be broadcast.
+MOST_BROADCAST = 32 << 20
+
+
+def is_small(rows: DataFrame, most: int = MOST_BROADCAST) -> bool:
+    """Whether the measured bytes of rows are few. rows are computed once for that, so give a cheap side."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if f.dataType.typeName() in ("string", "binary") else F.lit(16) for f in rows.schema.fields]
+    return (rows.agg(F.sum(functools.reduce(operator.add, sizes).cast("long"))).first()[0] or 0) <= most
+
+
+def small(rows: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """rows, to be broadcast if they are small; else joins shuffle."""
+    return F.broadcast(rows) if is_small(rows, most) else rows
+
+
+#: Words by which an item's place in a document is found; the whole item is compared afterwards.
+ANCHOR = 8
+
+
+def gold(benchmark: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, doc_id) of documents that hold a whole item word for word; white space counts as one space, items without words are nowhere.
+
+    Documents and items meet by equality of hashed runs of the item's first words, then the whole item is compared.
+    """
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    items = benchmark.select(F.col("item_id").alias("qid"), flat.alias("item")).where("item <> ''")
+    first = F.slice(F.split("item", " "), 1, ANCHOR)
+    items = small(items.select("qid", "item", F.size(first).alias("size"), F.xxhash64(F.array_join(first, " ")).alias("h")))
+    sizes = F.broadcast(items.select("size").distinct())  # ANCHOR rows at most
+    held = docs.select("doc_id", flat.alias("doc")).withColumn("w", F.split("doc", " "))
+    runs = "transform(sequence(1, size(w) - size + 1), i -> xxhash64(array_join(slice(w, i, size), ' ')))"
+    met = held.select("doc_id", "doc", "w").join(sizes, F.size("w") >= F.col("size")).select("doc_id", "doc", "size", F.explode(F.expr(f"array_distinct({runs})")).alias("h"))
+    met = met.join(items, ["size", "h"])
+    whole = F.contains(F.concat(F.lit(" "), F.col("doc"), F.lit(" ")), F.concat(F.lit(" "), F.col("item"), F.lit(" ")))
+    return met.where(whole).select("qid", "doc_id")
