@@ -57,7 +57,7 @@ def test_top_breaks_ties_by_id(spark):
 def test_tokens(spark):
     row = spark.createDataFrame([("Soul_Food_-LRB-film-RRB- ½ Élan's colon",)], "t string").select(T.tokens(F.col("t")).alias("t"), T.title_norm(F.col("t")).alias("n")).first()
     assert row.t == ["soul", "food", "film", "½", "élan", "s"] and row.n == "soul food film ½ élan s"
-    assert spark.createDataFrame([("é",)], "t string").select(T.nfc("t")).first()[0] == "é"
+    assert spark.createDataFrame([("é",)], "t string").select(T.nfc(F.col("t"))).first()[0] == "é"
 
 
 @pytest.mark.parametrize(
@@ -168,7 +168,7 @@ def test_fits(spark):
     assert grid[best] == min(grid.values()) and best > 1
     scale, bias = C.fit_vector_scaling(frame, 3)
     assert abs(sum(bias)) < 1e-9 and 0.5 < scale / best < 2
-    assert C.pav(np.array([1.0, 0.0, 0.5, 2.0]), np.array([1.0, 1.0, 2.0, 1.0])).tolist() == [0.5, 0.5, 0.5, 2.0]
+    assert C.minorant_slopes(np.array([1.0, 0.0, 0.5, 2.0]), np.array([1.0, 1.0, 2.0, 1.0])).tolist() == [0.5, 0.5, 0.5, 2.0]
 
 
 def test_logistic_separates(spark):
@@ -236,7 +236,7 @@ def test_pages(spark):
     assert got == ["https://a.org/x", "", "", "https://a.org/y?q=1", "", "", ""]
     page = "<html><head><title> T  t </title></head><body><nav>no</nav><h1>Head</h1><p>One <a href='/x'>link</a>.</p><div hidden>gone<p>x</p></div><script>var a='<p>';</script><p>Two</body>"
     read = spark.createDataFrame([(page,), (None,)], "html string").select(P.read_html("html").alias("r")).select("r.*").collect()
-    assert read[0].markdown == "# Head\n\nOne [link](/x).\n\nTwo" and read[0].title == "T t" and read[0].n_links == 1
+    assert read[0].markdown == "# Head\n\nOne [link](/x).\n\nTwo" and read[0].title == "T  t" and read[0].n_links == 1
     assert read[1].markdown == ""
 
 
@@ -330,14 +330,28 @@ def test_sources_of_speech_and_opinion(spark):
     assert _one(spark, Y.caption_passage(F.col("t")), "A man walks. (AP Photo/Evan Vucci)") and not _one(spark, Y.caption_passage(F.col("t")), "A man walks.")
 
 
-def test_claim_functions():
+def test_claim_functions(spark):
     assert [t for a, b in K.sentence_spans("Mr. Smith met J. Doe. \"Yes.\" It rose 3.5 percent in 2019. End") for t in ["Mr. Smith met J. Doe. \"Yes.\" It rose 3.5 percent in 2019. End"[a:b]]] == ["Mr. Smith met J. Doe.", "\"Yes.\"", "It rose 3.5 percent in 2019.", "End"]
-    found = {f["text"]: (f["value"], f["kind"], f["relation"]) for f in K.figures("over 3.5 million jobs, about $1,200, rose by 4 percent, 2 percentage points, in 2019, 7 left")}
+    one = spark.range(1)
+
+    def of(column):
+        return one.select(column.alias("x")).first().x
+
+    def figures(text):
+        return K.read_figures(F.lit(text))
+
+    found = {f["text"]: (f["value"], f["kind"], f["relation"]) for f in of(figures("over 3.5 million jobs, about $1,200, rose by 4 percent, 2 percentage points, in 2019, 7 left"))}
     assert found == {"3.5 million": (3.5e6, "count", "at_least"), "$1,200": (1200.0, "currency", "near"), "4 percent": (4.0, "relative_percent", None), "2 percentage points": (2.0, "percentage_points", None)}
-    assert K.hedged_form("about 100 jobs", K.figures("97 jobs and 250 jobs")) == "about 97 jobs"
-    assert K.hedged_form("over 100 jobs", K.figures("97 jobs")) is None
-    assert [p[:2] for p in K.periods("since March 2020, 2010 to 2012, in 2015")] == [(24242, K.FOREVER), (24120, 24155), (24180, 24191)]
-    assert K.place_qualifiers("West Virginia and Virginia and Ohio", "in Ohio", ("Virginia", "West Virginia", "Ohio")) == ["West Virginia", "Virginia"]
+    text = "é 12 of 30% and\n 1.5 then 12"
+    assert all(text[f.start : f.end] == f.text for f in of(figures(text))) and [f.text for f in of(figures(text))] == ["12", "30%", "1.5", "12"]
+    assert of(figures("")) == of(K.read_figures(F.lit(None).cast("string"))) == []
+    assert of(K.hedged_form(F.lit("about 100 jobs"), figures("97 jobs and 250 jobs"))) == "about 97 jobs"
+    assert of(K.hedged_form(F.lit("over 100 jobs"), figures("97 jobs"))) is None
+    assert of(K.hedged_form(F.lit("about 100 jobs or nearly 40%"), figures("39% of 102, 98, 101"))) == "about 101 jobs or nearly 39%"
+    assert [tuple(p)[:2] for p in of(K.read_periods(F.lit("since March 2020, 2010 to 2012, in 2015")))] == [(24242, K.FOREVER), (24120, 24155), (24180, 24191)]
+    names = ("Virginia", "West Virginia", "Ohio", "Virginia Beach")
+    assert of(K.place_qualifiers(F.lit("West Virginia and Virginia and Ohio"), F.lit("in Ohio"), names)) == ["West Virginia", "Virginia"]
+    assert of(K.place_qualifiers(F.lit("Ohioan West Virginia Beach, Ohio"), F.lit(""), names)) == ["West Virginia", "Virginia Beach", "Ohio"]
     assert [x["label"] for x in K.inline_links(r"[a](b(c)) ![i](x) \[no](y) [q [z]](w) [e](f)")] == ["a", "e"]
     assert K.inline_links("[a](b [c](d)") == []
 
@@ -426,3 +440,57 @@ def test_stored_index(spark, tmp_path):
     own = {(r.qid, r.doc_id): round(r.score, 9) for r in R.bm25(queries, docs).collect()}
     assert own and own == {(r.qid, r.doc_id): round(r.score, 9) for r in R.Index(spark, f"{tmp_path}/index").bm25(queries).collect()}
     assert index.meta.first()["n_docs"] == 61
+
+
+def test_isotonic_is_the_minimax(spark):
+    """Each value is the greatest of the least means over the runs that begin at or before it and end at or after it."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 30):
+        y, w = rng.integers(0, 4, n) / 2, rng.integers(1, 5, n).astype(float)
+        mean = lambda a, b: (y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(C.minorant_slopes(y, w), want)
+
+
+def test_vector_scaling_reaches_the_optimum(spark):
+    """No small move of scale or bias lowers the loss."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3)) * 2
+    z = 0.4 * x + np.array([0.8, -0.3, -0.5])
+    label = [int(rng.choice(3, p=np.exp(r) / np.exp(r).sum())) for r in z]
+    frame = spark.createDataFrame([(i, r.tolist(), y) for i, (r, y) in enumerate(zip(x, label))], "id int, logits array<double>, label int")
+    temperature, bias = C.fit_vector_scaling(frame, 3)
+
+    def loss(scale, b):
+        m = scale * x + b
+        return np.mean(np.log(np.exp(m).sum(axis=1)) - m[np.arange(len(x)), label])
+
+    best = loss(1 / temperature, np.array(bias))
+    assert abs(sum(bias)) < 1e-9
+    for step in (1e-3, -1e-3):
+        assert loss(1 / temperature + step, np.array(bias)) > best
+        for k in range(3):
+            moved = np.array(bias)
+            moved[k] += step
+            assert loss(1 / temperature, moved) > best
+
+
+def test_page_reader():
+    """Headings of every level, omitted and hidden parts, marks, links, regions, dates, depth."""
+    from veristrata.functions.html import Page
+
+    read = lambda body, url="https://x.org/a/b": Page(body, url)
+    assert read("<h2>Notes</h2><p>a</p><h3>Next</h3>").markdown == "# Notes\n\na\n\n# Next"
+    for hidden in ("<header>h</header>", "<table><tr><td>t</td></tr></table>", "<figcaption>f</figcaption>", "<p style='color:red; display : none !important'>d</p>", "<div aria-hidden='true'>x<p>y</p></div>", "<p style='visibility:hidden;'>v</p>"):
+        assert read(f"<p>a</p>{hidden}<p>b</p>").markdown == "a\n\nb", hidden
+    assert read("<p style='display:nonesuch'>a</p>").markdown == "a"
+    assert read("<html data-wf-site=1 data-wf-page=2><p class='k w-dyn-hide'>x</p>y</html>").markdown == "y" and read("<p class='w-dyn-hide'>x</p>").markdown == "x"
+    assert read("x<sup>2</sup> H<sub>2</sub>O <del>a</del><ins>b</ins><br> c<pre>p  q</pre>").markdown == "x^(2) H_(2)O [deleted: a][inserted: b]\nc\n\np  q"
+    assert read("<a href='../c'>l</a> <a>n</a> <a href='https://y.org/'>m").markdown == "[l](https://x.org/c) [n](https://x.org/a/b) [m"
+    assert read("<p>out</p><main><p>in</p></main>").markdown == "in" and read("<article>a</article><article>b</article>").markdown == "a\n\nb"
+    assert read("<article>x<div itemprop='articleBody'>body</div></article>").markdown == "body"
+    assert read("<main><article>x</article>").markdown == "x"  # main is never ended
+    dated = read("<head><title> T </title><meta property='article:published_time' content='2020-01-02'><meta name='datePublished' content='2020-01-02'><meta name='datePublished' content='2020-01-03'></head>x")
+    assert dated.metadata == {"article:published_time": "2020-01-02", "datePublished": "2020-01-03"} and dated.conflict and dated.title == "T" and dated.markdown == "x"
+    assert read("<script type='application/ld+json'>{}</script>").linked_data == ["{}"]
+    assert read("<div>" * 129 + "x").problem == "too_deep" and read("<div>" * 128 + "x").markdown == "x"

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+
+from veristrata.functions.html import read_html  # noqa: F401
 
 READ_CAP = 160_000
 LEAST_PROSE, MOST_PROSE = 80, 1400
@@ -65,78 +63,6 @@ def display_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"https?://\S+", "")
 
 
-# Element roles.
-OMITTED = frozenset("script style noscript template svg nav footer aside form button iframe".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCK = frozenset("p div section article main header ul ol li table tr blockquote pre br hr h1 h2 h3 h4 h5 h6 dl dt dd figure figcaption".split())
-MOST_DEPTH = 128
-
-
-class _Reader(HTMLParser):
-    """Visible text with headings and links as markdown; hidden subtrees are left out."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.open: list[tuple[str, bool]] = []
-        self.title, self.links, self.in_title = "", 0, False
-        self.link: str | None = None
-
-    def handle_starttag(self, tag, attrs):
-        own = dict(attrs)
-        if tag == "title":
-            self.in_title = True
-        hidden = tag in OMITTED or "hidden" in own or own.get("aria-hidden") == "true"
-        if tag not in VOID and len(self.open) < MOST_DEPTH:
-            self.open.append((tag, hidden or (bool(self.open) and self.open[-1][1])))
-        if self._visible():
-            if tag in BLOCK:
-                self.parts.append("\n\n")
-            if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
-                self.parts.append("#" * int(tag[1]) + " ")
-            if tag == "a" and own.get("href"):
-                self.link = own["href"]
-                self.links += 1
-                self.parts.append("[")
-
-    def handle_endtag(self, tag):
-        if tag == "title":
-            self.in_title = False
-        if tag == "a" and self.link is not None and self._visible():
-            self.parts.append(f"]({self.link})")
-            self.link = None
-        if any(t == tag for t, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
-        if tag in BLOCK and self._visible():
-            self.parts.append("\n\n")
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif self._visible():
-            self.parts.append(data)
-
-    def _visible(self) -> bool:
-        return not (self.open and self.open[-1][1])
-
-    def markdown(self) -> str:
-        lines = (" ".join(block.split()) for block in "".join(self.parts).split("\n\n"))
-        return "\n\n".join(line for line in lines if line)
-
-
-@F.pandas_udf(StructType().add("markdown", StringType()).add("title", StringType()).add("n_links", LongType()))
-def read_html(html: pd.Series) -> pd.DataFrame:
-    """Markdown, title and number of links of each page."""
-    rows = []
-    for page in html:
-        reader = _Reader()
-        reader.feed(page or "")
-        reader.close()
-        rows.append((reader.markdown(), " ".join(reader.title.split()), reader.links))
-    return pd.DataFrame(rows, columns=["markdown", "title", "n_links"])
-
-
 # How pages state their dates.
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 _WEEKDAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"

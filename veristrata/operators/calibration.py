@@ -38,40 +38,62 @@ def fit_temperature(predictions: DataFrame, steps: int = 4, width: int = 17) ->
     return best
 
 
-def fit_vector_scaling(predictions: DataFrame, classes: int, rounds: int = 25) -> tuple[float, list[float]]:
-    """(temperature, bias): logits / T + b by Newton steps on the gradient and curvature that one aggregation gives; the bias is centred."""
-    scale, bias = 1.0, np.zeros(classes)
-    for _ in range(rounds):
-        moved = F.transform("logits", lambda x, i: x * F.lit(scale) + F.element_at(F.array(*[F.lit(float(b)) for b in bias]), i + 1))
+def fit_vector_scaling(predictions: DataFrame, classes: int, rounds: int = 50) -> tuple[float, list[float]]:
+    """(temperature, bias): the least loss of logits / T + b, by Newton steps on the whole gradient and curvature, which one aggregation gives; a step that raises the loss is halved. The bias is centred, as a constant in it changes nothing."""
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+    def sums(scale: float, bias: np.ndarray) -> dict:
+        moved = F.transform("logits", lambda x, i: x * F.lit(float(scale)) + F.element_at(F.array(*[F.lit(float(b)) for b in bias]), i + 1))
         rows = predictions.select("logits", "label", softmax(moved).alias("p"))
-        gap = F.transform("p", lambda x, i: x - (i == F.col("label")).cast("double"))
-        mean = F.aggregate(F.zip_with("p", "logits", lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-        rows = rows.select("logits", "p", gap.alias("gap"), mean.alias("mean"))
-        sums = [F.sum(F.aggregate(F.zip_with("gap", "logits", lambda g, x: g * x), F.lit(0.0), lambda a, x: a + x)), F.sum(F.aggregate(F.zip_with("p", "logits", lambda p, x: p * F.pow(x - F.col("mean"), 2)), F.lit(0.0), lambda a, x: a + x)), F.count("*")]
+        rows = rows.select("*", F.transform("p", lambda x, i: x - (i == F.col("label")).cast("double")).alias("gap"), dot("p", "logits").alias("mean"))
+        found = {"loss": F.avg(-F.log(F.greatest(F.element_at("p", F.col("label") + 1), F.lit(1e-300)))), "gs": F.avg(dot("gap", "logits")), "hss": F.avg(F.aggregate(F.zip_with("p", "logits", lambda p, x: p * x * x), F.lit(0.0), lambda a, x: a + x) - F.col("mean") * F.col("mean"))}
         for k in range(classes):
-            sums += [F.sum(F.col("gap")[k]), F.sum(F.col("p")[k] * (1 - F.col("p")[k]))]
-        found = list(rows.agg(*sums).first())
-        first, second, n = found[0], found[1], found[2]
-        step = first / max(second, 1e-9)
-        moves = np.array([found[3 + 2 * k] / max(found[4 + 2 * k], 1e-9) for k in range(classes)])
-        scale = min(max(scale - 0.5 * step, 1 / HIGHEST_T), 1 / LOWEST_T)
-        bias = np.clip(bias - 0.5 * moves, -20, 20)
-        bias -= bias.mean()
-        if abs(step) < 1e-8 and np.abs(moves).max() < 1e-8 or not n:
+            found |= {f"g{k}": F.avg(F.col("gap")[k]), f"hs{k}": F.avg(F.col("p")[k] * (F.col("logits")[k] - F.col("mean")))}
+            found |= {f"h{k}_{j}": F.avg(F.col("p")[k] * ((1.0 if j == k else 0.0) - F.col("p")[j])) for j in range(k, classes)}
+        return rows.agg(*[v.alias(n) for n, v in found.items()]).first().asDict()
+
+    at, step = np.concatenate(([1.0], np.zeros(classes))), np.zeros(classes + 1)
+    best = sums(at[0], at[1:])
+    for _ in range(rounds if best["loss"] is not None else 0):
+        gradient = np.array([best["gs"], *[best[f"g{k}"] for k in range(classes)]])
+        curve = np.zeros((classes + 1, classes + 1))
+        curve[0, 0] = best["hss"]
+        for k in range(classes):
+            curve[0, k + 1] = curve[k + 1, 0] = best[f"hs{k}"]
+            for j in range(k, classes):
+                curve[k + 1, j + 1] = curve[j + 1, k + 1] = best[f"h{k}_{j}"]
+        step = np.linalg.solve(curve + 1e-9 * np.eye(classes + 1), gradient)
+        while np.abs(step).max() > 1e-9:
+            to = at - step
+            to[0] = min(max(to[0], 1 / HIGHEST_T), 1 / LOWEST_T)
+            to[1:] = np.clip(to[1:] - to[1:].mean(), -20, 20)
+            tried = sums(to[0], to[1:])
+            if tried["loss"] <= best["loss"] + 1e-12:
+                break
+            step = step / 2
+        else:
+            break
+        done = best["loss"] - tried["loss"] < 1e-13
+        at, best = to, tried
+        if done:
             break
-    return 1 / scale, bias.tolist()
+    return 1 / at[0], at[1:].tolist()
 
 
-def pav(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The closest non-decreasing values: neighbouring blocks that fall are merged to their mean."""
-    blocks: list[list[float]] = []
-    for v, w in zip(values.tolist(), weights.tolist()):
-        blocks.append([v, w, 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v2, w2, n2 = blocks.pop()
-            v1, w1, n1 = blocks.pop()
-            blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
-    return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
+def minorant_slopes(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The closest non-decreasing values by weighted squares: slopes of the greatest convex curve below the running sums."""
+    x, y = (np.concatenate(([0.0], np.cumsum(v))).tolist() for v in (weights, weights * values))
+    corners: list[int] = []
+    for i in range(len(x)):
+        while len(corners) > 1:
+            a, b = corners[-2:]
+            if (y[b] - y[a]) * (x[i] - x[b]) < (y[i] - y[b]) * (x[b] - x[a]):
+                break
+            corners.pop()
+        corners.append(i)
+    return np.repeat(np.diff(np.take(y, corners)) / np.diff(np.take(x, corners)), np.diff(corners))
 
 
 def isotonic_knots(rows: DataFrame, by: str, score: str, hit: str) -> DataFrame:
@@ -80,7 +102,7 @@ def isotonic_knots(rows: DataFrame, by: str, score: str, hit: str) -> DataFrame:
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("x")
-        return group.assign(y=pav(group["y"].to_numpy(), group["w"].to_numpy(dtype=float)))[[by, "x", "y"]]
+        return group.assign(y=minorant_slopes(group["y"].to_numpy(), group["w"].to_numpy(dtype=float)))[[by, "x", "y"]]
 
     return runs.groupBy(by).applyInPandas(fit, f"{by} {dict(runs.dtypes)[by]}, x double, y double")
 

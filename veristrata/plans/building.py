@@ -240,8 +240,8 @@ def role_gate(spark, d):
 def page_dates(spark, d):
     from veristrata.functions import pages as P
 
-    read_ = read(spark, d, "pages").select("page_id", "url", P.read_html("html").alias("r"))
-    return read_.select("page_id", P.byline_date(F.col("r.markdown")).alias("byline"), P.publication_date(F.col("r.markdown"), F.array().cast("array<string>"))["problem"].alias("problem"), P.url_path_date(F.col("url")).alias("path_date"))
+    read_ = read(spark, d, "pages").select("page_id", "url", P.read_html("html", "url").alias("r"))
+    return read_.select("page_id", P.byline_date(F.col("r.markdown")).alias("byline"), P.publication_date(F.col("r.markdown"), F.map_values("r.metadata"))["problem"].alias("problem"), P.url_path_date(F.col("url")).alias("path_date"))
 
 
 def citable_blocks(spark, d):
