@@ -84,12 +84,17 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def tokens(text: Column) -> Column:
-    """Retrieval terms: composed, lower case, underscores split, bracket escapes dropped."""
-    found = F.regexp_extract_all(F.lower(F.replace(unescape(nfc(text)), F.lit("_"), F.lit(" "))), F.lit(TOKEN), F.lit(0))
+def composed_tokens(text: Column) -> Column:
+    """Retrieval terms of text that is composed already, for use inside array functions: lower case, underscores split, bracket escapes dropped."""
+    found = F.regexp_extract_all(F.lower(F.replace(unescape(text), F.lit("_"), F.lit(" "))), F.lit(TOKEN), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(ESCAPE_TOKENS))
 
 
+def tokens(text: Column) -> Column:
+    """Retrieval terms of the text's composed form."""
+    return composed_tokens(nfc(text))
+
+
 def title_norm(title: Column) -> Column:
     return F.array_join(tokens(title), " ")
 
@@ -99,9 +104,13 @@ def claim_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def content_terms(text: Column) -> Column:
+def content_of(terms: Column) -> Column:
     """Terms that are no function words, each at its first place."""
-    return F.array_distinct(F.filter(tokens(text), lambda t: ~t.isin(FUNCTION_WORDS)))
+    return F.array_distinct(F.filter(terms, lambda t: ~t.isin(FUNCTION_WORDS)))
+
+
+def content_terms(text: Column) -> Column:
+    return content_of(tokens(text))
 
 
 def claim_words(text: Column) -> Column:
