@@ -76,3 +76,16 @@ def test_damage_is_seen():
         _directory(b"not a zip file")
     with pytest.raises(ValueError):
         A.parse_record(b"HTTP/1.1 200 OK\r\n\r\n")
+
+
+def test_comments_that_look_like_the_end(tmp_path):
+    """An archive comment with an end record's four bytes in it doesn't mislead the reader."""
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("a", b"first")
+        z.writestr("b", b"second")
+        z.comment = b"note PK\x05\x06 and " + b"PK\x05\x06" + bytes(30)
+    data = buffer.getvalue()
+    directory = A.ZipDirectory(lambda at, size: data[at : at + size], len(data))
+    at, size = directory.locate("b")
+    assert data[at : at + size] == b"second" and set(directory.members) == {"a", "b"}

@@ -18,6 +18,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op1's rules rest on, and the base conditions; SQL can express these."""
+    return quality_rules.word_statistics(read(spark, sf_dir, "documents")).withColumn("base_failed", quality_rules.base_failed())
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
     return lm_scoring.cross_entropy_difference(read(spark, sf_dir, "documents"), good)
@@ -72,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_decontamination, op4_substring_dedup, op5_web_archives, op6_sentence_pieces, op7_language_id, op8_token_counts, op9_simhash, op10_token_shards, language_id_pages, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_decontamination, op4_substring_dedup, op5_web_archives, op6_sentence_pieces, op7_language_id, op8_token_counts, op9_simhash, op10_token_shards, quality_counts, language_id_pages, pipeline)}
 
 _BASE32 = "|| ".join(
     "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {0}, 5) AS BIGINT) // {1}) % 32 AS INT), 1)".format(1 + 5 * block, 32**place)
@@ -81,6 +86,14 @@ _BASE32 = "|| ".join(
 )
 
 ORACLES = {
+    "quality_counts": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 0) + 1)) AS i FROM d)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY r),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+ length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f""",
     "op3_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -119,6 +119,9 @@ class ZipDirectory:
         tail_at = max(0, size - 65_557)
         tail = read(tail_at, size - tail_at)
         at = tail.rfind(b"PK\x05\x06")
+        # a comment may hold the same four bytes: the true record's comment ends the file
+        while at >= 0 and at + 22 + int.from_bytes(tail[at + 20 : at + 22], "little") != len(tail):
+            at = tail.rfind(b"PK\x05\x06", 0, at)
         if at < 0:
             raise ValueError("no end of central directory")
         count, length, start = struct.unpack("<HII", tail[at + 10 : at + 20])
