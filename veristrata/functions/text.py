@@ -66,7 +66,9 @@ def _compose(text: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Composed form. Spark has no built-in for it; only texts with a character that can change are sent to Python."""
-    return F.coalesce(_compose(F.when(text.rlike(COMPOSABLE), text)), text)
+    # the cheap tests come first: most texts are ASCII, or Latin without combining marks
+    needed = (F.octet_length(text) > F.length(text)) & text.rlike(r"[^\x{0}-\x{2FF}]") & text.rlike(COMPOSABLE)
+    return F.coalesce(_compose(F.when(needed, text)), text)
 
 
 def title_key(title: Column) -> Column:
