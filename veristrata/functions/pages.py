@@ -118,5 +118,6 @@ def citable(block: Column) -> Column:
     visible = F.regexp_replace(F.regexp_replace(block, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"https?://\S+", "")
     linked = F.aggregate(F.regexp_extract_all(block, F.lit(r"\[([^\]]*)\]\([^)]*\)"), F.lit(1)), F.lit(0), lambda a, x: a + F.length(x))
     plain = ~block.rlike(r"^(?:\||!\[|#|\]\()") & ~block.rlike(r"^(?:Table|Chart|Figure)\s+[A-Z0-9][.:]")
+    plain = plain & ~block.rlike(r"(?i)Highcharts|Hover over chart|Choose another chart|Go to selected chart")
     whole = ~visible.rlike(r"(?i)(?:\[\s*(?:\.{3}|…)\s*\]|…|\.{3})(?:\s*(?:Read more|Continue reading))?[.!]?$")
     return F.length(block).between(LEAST_PROSE, MOST_PROSE) & plain & whole & (linked <= F.floor(F.length(visible) / 2))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veristrata.plans import assembling, building, evaluation, judging, lexical, reporting, splitting, streams
+from veristrata.plans import assembling, building, evaluation, judging, lexical, reporting, researching, splitting, streams
 
 FLAGSHIP = "i02_bm25_top10"
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-for _module in (lexical, assembling, building, splitting, evaluation, judging, reporting, streams):
+for _module in (lexical, assembling, building, splitting, evaluation, judging, reporting, researching, streams):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
