@@ -71,14 +71,16 @@ def test_quality_rules_learn_a_threshold(spark):
     assert quality_rules.quality_rules(docs, empty).where("kept = base_failed").count() == 0
 
 
-def test_substring_dedup(docs):
+@pytest.mark.parametrize("heavy", [substring_dedup.HEAVY, 3000, 200])
+def test_substring_dedup(docs, heavy):
+    """Also with nearly all buckets split, and some of them."""
     low = {}
     for i, text in ROWS:
         words = _words(text)
         for k in range(len(words) - 12):
             key = tuple(words[k : k + 13])
             low[key] = min(low.get(key, i), i)
-    got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs, carry=["lang", "n_chars"]).collect()}
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs, carry=["lang", "n_chars"], heavy=heavy).collect()}
     assert len(got) == len(ROWS)
     removed = 0
     for i, text in ROWS:
@@ -90,13 +92,36 @@ def test_substring_dedup(docs):
     assert removed
 
 
-def test_substring_dedup_hot_copies(spark):
+@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("heavy", [substring_dedup.HEAVY, 2000])
+def test_substring_dedup_hot_copies(spark, heavy, parts):
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(i, f"own{i} {passage} tail{i}") for i in range(100)]
-    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs, heavy=heavy).collect()}
     assert got == {i: 30 if i else 0 for i in range(100)}
 
 
+def test_substring_dedup_hot_minimiser(spark):
+    """One phrase in ever other surroundings, many of them repeated: its bucket is dealt by whole windows."""
+    rng = random.Random(11)
+    sides = [[" ".join(f"s{rng.randrange(40)}" for _ in range(9)) for _ in range(30)] for _ in range(2)]
+    rows = [(i, f"{rng.choice(sides[0])} a b c {rng.choice(sides[1])}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [sorted((r.doc_id, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs, heavy=heavy).collect()) for heavy in (substring_dedup.HEAVY, 1500)]
+    low = {}
+    for i, text in rows:
+        words = text.split()
+        for k in range(len(words) - 12):
+            low.setdefault(tuple(words[k : k + 13]), i)
+    want = []
+    for i, text in rows:
+        words = text.split()
+        gone = {p for k in range(len(words) - 12) if low[tuple(words[k : k + 13])] < i for p in range(k, k + 13)}
+        want.append((i, len(gone), " ".join(w for p, w in enumerate(words) if p not in gone)))
+    assert found == [want, want]
+
+
 def test_equal_hashes_are_compared(monkeypatch):
     import numpy as np
 
