@@ -50,13 +50,13 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 
 def corpus_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, dl, term, tf) of the given terms (term), and a row with tf 0 for each document.
+    """(doc_id, dl, term, tf) of the given terms (term), and a row with tf 0 for each document; a null text has no dl.
 
     The corpus is tokenised once and only asked terms are moved, dealt by document. Everything that is derived from this (counts,
     lengths, frequencies, scores) reads the same exchange; filters on tf can't slip below it and make it another.
     """
     held = docs.select("doc_id", T.tokens(F.col("text")).alias("t"))
-    rows = held.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    rows = held.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("t", F.array().cast("array<string>")))).alias("term"))
     marked = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
     kept = rows.join(small(marked.distinct()), "term", "left_semi")
     return kept.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count_if(F.col("term") != "").alias("tf"))
