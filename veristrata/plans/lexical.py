@@ -149,7 +149,7 @@ def reprint_overlap(spark, d):
 
 
 def clipped_sentences(spark, d):
-    s = sentences(_docs(spark, d)).withColumn("w", F.split("sentence", r"\s+"))
+    s = sentences(_docs(spark, d)).withColumn("w", F.split("sentence", T.as_in_sql(r"\s+")))
     return s.select("doc_id", "idx", F.when(F.size("w") > 64, F.array_join(F.slice("w", 1, 64), " ")).otherwise(F.col("sentence")).alias("clipped")).where(F.length("clipped") > 0)
 
 
