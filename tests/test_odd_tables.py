@@ -46,7 +46,7 @@ def _rows(spark, odd, name):
     return got, want
 
 
-@pytest.mark.parametrize("name", ["i06_two_stage_text", "a15_page_scan", "a17_page_sentences", "a23_stored_sentences", "g01_clipped_sentences"])
+@pytest.mark.parametrize("name", ["i06_two_stage_text", "a15_page_scan", "a17_page_sentences", "a23_stored_sentences", "g01_clipped_sentences", "p09_claims_to_judge"])
 def test_sentences_by_sql(spark, odd, name):
     got, want = _rows(spark, odd, name)
     assert got == want and len(got) > 5
