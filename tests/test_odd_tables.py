@@ -21,6 +21,11 @@ ODD = [
     "the red fox runs. 1 red fox. 2 red fox runs 2. 0 fox",
 ]
 
+SAID = [
+    "caf\u00e9 first\x0bwords here", "a \u00e9its b", "\u00e9Clean Water Act passed", "c", "it\u00e9 said", "the\u017fe words", "It became law", "that law\u00e9", "we\u00e9re not", "ours\x0bonce", "theirs", "_it_", "the bill", "hi\u017f", "hi\u017fx",
+    "Big\x0bBill and Old Law", "", "la quetion\u00e9our plus", "\u00e9 it.", "Th\u00efs", "\u0130t \u0131t", "this law", "that act\u00e9",
+]
+
 
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
@@ -31,6 +36,8 @@ def odd(spark, tmp_path_factory):
         "labels": ([(i, i % 2, 0) for i in range(len(ODD))], "doc_id long, quality int, toxic int"),
         "benchmark": ([(i, t) for i, t in enumerate(["red fox", "the red fox runs 31", "cut here end", "0997 starts 22", ""])], "item_id long, text string"),
     }
+    turns = [(c, n, ("user", "assistant")[(n // (1 + c % 2)) % 2], SAID[(c * 5 + n * (1 + c % 3)) % len(SAID)]) for c in range(30) for n in range(16)]
+    tables["conversations"] = (turns, "conv_id long, turn int, role string, text string")
     con = duckdb.connect()
     for name, (rows, kind) in tables.items():
         spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
@@ -63,3 +70,8 @@ def test_negated_items_by_sql(spark, odd):
 def test_negation_of_claims_ends_at_letters(spark):
     rows = spark.createDataFrame([("elle est énot",), ("it is not",)], "t string").select(K.negated(F.col("t")).alias("plain"), K.negated(F.col("t"), as_in_sql=True).alias("sql"))
     assert [tuple(r) for r in rows.collect()] == [(False, True), (True, True)]
+
+
+def test_search_queries_by_sql(spark, odd):
+    got, want = _rows(spark, odd, "i08_search_queries")
+    assert got == want and len(got) == 480

@@ -47,18 +47,18 @@ def law_mentions(text: Column) -> Column:
             skip = F.when(m["text"].startswith(article), len(article)).otherwise(skip)
         return F.struct(F.substring(m["text"], skip + 1, F.length(m["text"])).alias("text"), (m["start"] + skip).alias("start"), m["end"].alias("end"))
 
-    return F.filter(F.transform(K.matches(text, LAW_NAME, "Act|Bill|Law"), bare), lambda m: F.contains(m["text"], F.lit(" ")))
+    return F.filter(F.transform(K.matches(text, T.as_in_sql(LAW_NAME), "Act|Bill|Law"), bare), lambda m: F.contains(m["text"], F.lit(" ")))
 
 
 def law_hint(claim: Column, context: Column) -> Column:
     """The last mention (id, text, start, end) in context, an array of (id, text), if the claim points to a law without naming one and context names exactly one; else null."""
     named = F.flatten(F.transform(context, lambda s: F.transform(law_mentions(s["text"]), lambda m: F.struct(s["id"].alias("id"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end")))))
     one = F.size(F.array_distinct(F.transform(named, lambda m: F.lower(m["text"])))) == 1
-    return F.when(claim.rlike(LAW_REFERENCE) & (F.size(law_mentions(claim)) == 0) & one, F.try_element_at(named, F.lit(-1)))
+    return F.when(claim.rlike(T.as_in_sql(LAW_REFERENCE)) & (F.size(law_mentions(claim)) == 0) & one, F.try_element_at(named, F.lit(-1)))
 
 
 def _spoken(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, T.as_in_sql(r"\s+")), lambda w: w != "")
 
 
 def _content(text: Column) -> Column:
@@ -93,7 +93,7 @@ def search_query(mode: Column, claim: Column, country: Column, said_on: Column,
     """The query of a mode: claim, topic, or context (claim, country, year, the last words before it if it points back, and the law it means). Another mode gives null."""
     before = _spoken(F.array_join(F.transform(preceding, lambda x: x["text"]), " "))
     last = F.array_join(F.slice(before, F.greatest(F.size(before) - CONTEXT_WORDS + 1, F.lit(1)), F.lit(CONTEXT_WORDS)), " ")
-    hints = [country, F.substring(said_on, 1, 4), F.when(claim.rlike(REFERENTIAL), last), law_hint(claim, references)["text"]]
+    hints = [country, F.substring(said_on, 1, 4), F.when(claim.rlike(T.as_in_sql(REFERENTIAL)), last), law_hint(claim, references)["text"]]
     whole = F.concat_ws(" ", claim, *[F.when(h != "", h) for h in hints])
     topic = topic_query(claim, topic_context(claim, preceding))
     return F.when(mode == "claim", claim).when(mode == "topic", topic).when(mode == "context", whole)
