@@ -51,7 +51,7 @@ def keys(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("keys"))
     sources = [None, "e\u0301", "\u00e9", "", "a_1", "src"]
     docs = [(i, f"a{i}. b. c. d{i}. e. f. g{i}. h. i. j{i}.", "en", sources[i % 6], 9) for i in range(1, 15)]
-    docs += [(None, "q. b. said twice. s. only here", "en", "src", 9), (21, "t. u. v. said twice", "en", "src", 9), (22, None, "en", "src", 9)]
+    docs += [(None, "q. b. said twice. s. only here", "en", "src", 9), (21, "t. u. v. said twice. w", "en", "src", 9), (22, None, "en", "src", 9)]
     labels = [(i, 0, 0) for i in (*range(0, 24, 2), 4, 4, 7, 9, 9, 13)] + [(None, 0, 0)]
     con = duckdb.connect()
     for name, rows, kind in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars int"), ("labels", labels, "doc_id long, quality int, toxic int")):
@@ -82,6 +82,11 @@ def test_stored_sentences_by_sql_on_odd_keys(spark, keys):
     assert got == want and len(got) == 40
 
 
+def test_claims_to_judge_by_sql_on_odd_keys(spark, keys):
+    got, want = _rows(spark, keys, "p09_claims_to_judge")
+    assert got == want and ("said twice.", 21, 3) in got and ("q.", None, 0) in got
+
+
 def test_negated_items_by_sql(spark, odd):
     got, want = _rows(spark, odd, "b22_negated_items")
     assert got == want and len(got) == 3
